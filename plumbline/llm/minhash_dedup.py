@@ -9,17 +9,17 @@ links go to union-find (`components`).
 
 Copies with equal shingle sets are one class, known by its smallest id. In each
 band's bucket all classes are first held against the smallest one. Then, in
-buckets where several components are left, all pairs across components whose
+buckets where several components are left, the pairs across components whose
 signatures agree far enough (`agree`: at a similarity of 0.8 missed with
-probability below 1e-8) are verified as well, in blocks, so no link between
-different texts is lost but by the bands: a pair at the threshold shares none of
-28 bands of 4 with probability (1 - 0.8^4)^28 = 4e-7.
+probability below 1e-8) are verified as well, inside blocks of bounded size, so no
+link between different texts is lost but by the bands: a pair at the threshold
+shares none of 28 bands of 4 with probability (1 - 0.8^4)^28 = 4e-7.
 
 Defined results: null or wordless texts have the empty set and link with nothing;
 texts of fewer words than a shingle are one shingle; rows of one id are one node;
 rows with null id link with nothing and are kept; no documents give no rows;
 columns besides doc_id and text are carried by `keep`, else not read. Shingles are
-compared by 64-bit fingerprints, classes by 128 bits and their size.
+compared by 64-bit fingerprints (48 bits inside blocks), classes by 128 bits and their size.
 """
 
 from __future__ import annotations
@@ -170,37 +170,79 @@ def _verify(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame
     return joined.join(t, F.col("b") == F.col("ib")).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """One text of each class in the pairs. known: (id, text) already read."""
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The text of each class in the pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if known is not None:
-        wanted = wanted.join(known.select("id"), "id", "left_anti")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # ids of several texts are one node, so any of the class's would do; the first in order makes runs agree
-    read = rows.join(wanted.hint("shuffle_hash"), rows["doc_id"] == wanted["id"]).select("id", "text")
-    return cut(read if known is None else read.union(known))
+    return cut(rows.join(wanted.hint("shuffle_hash"), rows["doc_id"] == wanted["id"]).select("id", "text"))
 
 
-def _across(members: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of classes of one bucket and different components with enough equal slots.
+def _prints(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(id, prints): the shingle set of each text, 6 bytes of each fingerprint in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in w.pieces(batches, "text"):
+            row, value = shingles(w.Words(data, off, w.spaced(), fold=True), settings.shingle)
+            raw = (value >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+            first = np.searchsorted(row, np.arange(len(part) + 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[first[i] : first[i + 1]].tobytes() for i in range(len(part))], pa.binary())], names=["id", "prints"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, prints binary").dropDuplicates(["id"])
 
-    members: key, id, part (its component), low, n (classes in the bucket). A
-    bucket is dealt as pairs of blocks of about `block` classes."""
+
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(U).ravel()
+
+
+def _across(members: DataFrame, settings: Settings) -> DataFrame:
+    """Links between classes of one bucket and different components.
+
+    members: key, id, part (its component), low, bands, prints, n (classes in the
+    bucket). A bucket is dealt as pairs of blocks of about `block` classes. Inside
+    one, a pair is looked at in the first band that it shares, if its parts
+    differ and enough slots agree, and then held on its full sets; links that
+    tie what earlier ones have tied are not returned, so rows are no more than
+    the block's classes."""
     blocks = F.ceil(F.col("n") / settings.block).cast("int")
     own_block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = members.withColumn("own", own_block).select("key", "id", "part", "low", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", "id", "part", "low", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rest = ("id", "part", "low", "bands", "prints")
+    dealt = members.withColumn("own", own_block).select("key", *rest, "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", *rest, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
         low = np.stack([np.frombuffer(x, np.uint8) for x in pdf["low"]])
-        ids, part, block = pdf["id"].to_numpy(), pdf["part"].to_numpy(), pdf["own"].to_numpy()
+        bands = np.stack(list(pdf["bands"])).astype(np.int64)
+        here = int(np.flatnonzero(bands[0] == pdf["key"].iloc[0])[0])
+        ids, block = pdf["id"].to_numpy(), pdf["own"].to_numpy()
+        _, part = np.unique(pdf["part"].to_numpy(), return_inverse=True)
+        sets: dict[int, np.ndarray] = {}
+
+        def of(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = _unpack(pdf["prints"].iloc[x])
+            return sets[x]
+
         one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         out = []
-        for x in range(len(ids)):
-            y = np.flatnonzero((part != part[x]) & (ids > ids[x]) & (one | (block != block[x])))
+        for x in range(len(ids) - 1):
+            y = np.arange(x + 1, len(ids))
+            y = y[(part[y] != part[x]) & (one | (block[y] != block[x]))]
             y = y[(low[y] == low[x]).sum(axis=1) >= settings.agree]
-            out.append(np.stack([np.full(len(y), ids[x]), ids[y]], axis=1))
-        return pd.DataFrame(np.concatenate(out).astype(np.int64), columns=["a", "b"])
+            if here:
+                y = y[~(bands[y, :here] == bands[x, :here]).any(axis=1)]
+            for z in y.tolist():
+                if part[z] == part[x]:
+                    continue
+                a, b = of(x), of(z)
+                if 100 * min(len(a), len(b)) < settings.percent * max(len(a), len(b)):
+                    continue
+                both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+                if 100 * both >= settings.percent * (len(a) + len(b) - both):
+                    out.append((ids[x], ids[z]))
+                    part[part == part[z]] = part[x]
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
@@ -214,7 +256,7 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     buckets = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count("*").alias("n")).where("a < last")
     met = cut(banded.join(buckets, "key").select("key", "a", F.col("id").alias("b"), "n"))
     pairs = cut(met.where("a <> b").select("a", "b").distinct())
-    texts = _texts(docs, pairs, None)
+    texts = _texts(docs, pairs)
     links = cut(_verify(pairs, texts, settings))
     # several rows of one id may differ in text; they are one node all the same
     same = sketches.where("set_hash is not null and doc_id is not null").join(classes.select("set_hash", F.col("id").alias("b")), "set_hash").select(F.col("doc_id").alias("a"), "b").where("a <> b")
@@ -224,10 +266,11 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     labelled = in_bucket.join(parts, in_bucket["id"] == parts["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
     mixed = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
     members = cut(labelled.join(mixed, "key", "left_semi"))
-    more = _across(members.join(classes.select("id", "low"), "id"), settings)
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+    wanted = members.select("id").distinct()
+    prints = cut(_prints(texts.join(wanted, "id", "left_semi"), settings))
+    more = cut(_across(members.join(classes.select("id", "low", "bands"), "id").join(prints, "id"), settings))
     if more.head(1):
-        links = links.union(cut(_verify(more, _texts(docs, more, texts), settings)))
+        links = links.union(more)
         parts = cut(components(links))
     # of class representatives to all ids; ids that stand in several classes tie them
     ids = sketches.where("set_hash is not null and doc_id is not null").groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y"))
