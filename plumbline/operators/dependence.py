@@ -155,7 +155,7 @@ def covariance_calibration(panel: Flat) -> DataFrame:
 
     parts = F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(s).alias("side"), F.col(c % s).alias("v")) for axis, cols in (("corr", [f"c|%s|{a}|{b}" for a, b in pairs(panel.features)]), ("var", [f"v|%s|{f}" for f in panel.features])) for s in (REAL, SYNTHETIC) for c in cols])
     enough = F.least(f"n|{REAL}", f"n|{SYNTHETIC}") >= 20
-    spread = one.select(enough.alias("enough"), F.explode(parts).alias("c")).groupBy("enough", "c.axis", "c.side").agg(F.stddev_pop("v").alias("sd"))
+    spread = one.select(enough.alias("enough"), F.explode(parts).alias("c")).select("enough", "c.axis", "c.side", "c.v").groupBy("enough", "axis", "side").agg(F.stddev_pop("v").alias("sd"))
     real, syn = F.max(on(REAL, F.col("sd"))), F.max(on(SYNTHETIC, F.col("sd")))
     ratio = spread.groupBy("axis").agg(F.first("enough").alias("enough"), F.when(real > 1e-9, syn / (real + 1e-12)).alias("value"))
     total = ratio.agg(F.avg(F.when(F.col("enough"), F.abs(F.log(F.greatest("value", F.lit(1e-12)))))).alias("value"))

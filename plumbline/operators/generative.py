@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import distance, rows
+from ..functions.stats import rows
 from ..sources.panels import REAL, SYNTHETIC, Flat, Paths
 
 CAP = 2000
@@ -28,30 +28,40 @@ def feature_names(paths: Paths) -> tuple[str, ...]:
     return tuple(f"{k}_{f}" for k in ("cum", "vol", "mdd", "skew") for f in paths.features)
 
 
-def as_points(panel: Paths | Flat, cap: int = CAP) -> tuple[DataFrame, tuple[str, ...]]:
-    """Points standardised by the real side: (side, _id, features); paths by their path features; non-finite ones dropped, then the first `cap` of a side."""
+def as_points(panel: Paths | Flat, cap: int = CAP) -> DataFrame:
+    """Points standardised by the real side: (side, _id, v); paths by their path features; non-finite ones dropped, then the first `cap` of a side.
+
+    A point is one array, so plans do not grow with the number of dimensions."""
     if isinstance(panel, Paths):
-        names = feature_names(panel)
-        panel = Flat(path_features(panel), names, ("path",))
-    first = panel.head(panel.finite(), cap)
-    m = first.where(F.col("side") == REAL).agg(*[g(f).alias(f"{n}{f}") for f in panel.features for n, g in (("m_", F.avg), ("d_", F.stddev_pop))])
+        panel = Flat(path_features(panel), feature_names(panel), ("path",))
+    points = Flat(panel.df.select("side", *panel.order, F.array(*panel.features).alias("v")), ("v",), panel.order)
+    fine = points.df.where(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) != float("inf"))))
     ident = F.row_number().over(Window.partitionBy("side").orderBy(*panel.order))
-    return first.join(F.broadcast(m)).select("side", ident.alias("_id"), *[((F.col(f) - F.col(f"m_{f}")) / (F.col(f"d_{f}") + 1e-12)).alias(f) for f in panel.features]), panel.features
+    first = points.head(fine, cap).select("side", ident.alias("_id"), "v")
+    per = first.where(F.col("side") == REAL).select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), (F.stddev_pop("x") + 1e-12).alias("d"))
+    m = per.agg(F.sort_array(F.collect_list(F.struct("i", "m", "d"))).alias("k")).select(F.col("k.m").alias("m"), F.col("k.d").alias("d"))
+    z = F.zip_with(F.zip_with("v", "m", lambda x, y: x - y), "d", lambda x, y: x / y)
+    return first.join(F.broadcast(m)).select("side", "_id", z.alias("v"))
+
+
+def _gap(a: str, b: str) -> Column:
+    """Distance of two arrays; differences are summed, as norms and dot products lose digits near 0."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def _radius(real: DataFrame, names: tuple[str, ...], k: int) -> DataFrame:
+def _radius(real: DataFrame, k: int) -> DataFrame:
     """(rid, radius): distance of the (k+1)-th nearest other real point; without that many, infinite."""
-    d = real.alias("a").join(F.broadcast(real.alias("b")), F.col("a._id") != F.col("b._id")).select(F.col("a._id").alias("rid"), distance(names, "a", "b").alias("d"))
+    d = real.alias("a").join(F.broadcast(real.alias("b")), F.col("a._id") != F.col("b._id")).select(F.col("a._id").alias("rid"), _gap("a.v", "b.v").alias("d"))
     rank = d.withColumn("n", F.row_number().over(Window.partitionBy("rid").orderBy("d")))
     return rank.where(F.col("n") <= k + 1).groupBy("rid").agg(F.when(F.count("*") == k + 1, F.max("d")).otherwise(float("inf")).alias("radius"))
 
 
 def density_coverage(panel: Paths | Flat, k: int = 5, cap: int = CAP) -> DataFrame:
     """density: synthetic points inside the balls of real ones, over k and their number; coverage: balls that hold one."""
-    x, names = as_points(panel, cap)
+    x = as_points(panel, cap)
     real, syn = x.where(F.col("side") == REAL), x.where(F.col("side") == SYNTHETIC)
-    balls = real.join(_radius(real, names, k), real["_id"] == F.col("rid"))
-    hits = balls.alias("a").join(F.broadcast(syn.alias("b"))).groupBy("a._id").agg(F.count_if(distance(names, "a", "b") <= F.col("a.radius")).alias("n"))
+    balls = real.join(_radius(real, k), real["_id"] == F.col("rid"))
+    hits = balls.alias("a").join(F.broadcast(syn.alias("b"))).groupBy("a._id").agg(F.count_if(_gap("a.v", "b.v") <= F.col("a.radius")).alias("n"))
     one = hits.agg(F.sum("n").alias("n"), F.avg((F.col("n") > 0).cast("double")).alias("coverage")).crossJoin(syn.agg(F.count("*").alias("ns")))
     density = F.col("n") / (k * F.col("ns"))
     return rows(one, {"density": density, "coverage": F.col("coverage")}, F.col("coverage"))
@@ -87,8 +97,7 @@ def memorization(paths: Paths, cap: int = CAP, least: int = 10) -> DataFrame:
     v = v.where(F.forall("v", lambda c: _present(c, paths.features)))
     v = v.select("side", "path", F.flatten(F.transform("v", lambda c: F.array(*[c[f] for f in paths.features]))).alias("v"))
     real, syn = v.where(F.col("side") == REAL), v.where(F.col("side") == SYNTHETIC)
-    # squared distance from norms and the dot product would lose digits near 0: differences are summed
-    gap = F.sqrt(F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    gap = _gap("a.v", "b.v")
     rr = real.alias("a").join(F.broadcast(real.alias("b")), F.col("a.path") != F.col("b.path")).groupBy("a.path").agg(F.min(gap).alias("d"))
     sr = syn.alias("a").join(F.broadcast(real.alias("b"))).groupBy("a.path").agg(F.min(gap).alias("d"))
     r = rr.agg(F.percentile("d", 0.5).alias("med_r"), F.percentile("d", 0.05).alias("q05"))
