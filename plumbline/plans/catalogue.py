@@ -69,7 +69,7 @@ def _ci(block: int) -> Query:
         fc = p.part_forecasts(spark, sf_dir)
         df = fc.actuals.select(F.when(F.col("obs") % 2 == 0, p.REAL).otherwise(p.SYNTHETIC).alias("side"), "obs", "price")
         x = baselines.bootstrap_ci(df, ("obs",), _mean_gap, replicates=50, block=block)
-        return x.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
+        return x.select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n")
 
     return run
 
@@ -86,14 +86,14 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, sf_dir).select("metric", F.round("value", 6).alias("value"), F.round("score", 6).alias("score"), "quality")
+    return _values(spark, sf_dir).select("metric", F.round("value", 6).alias("value"), F.round("score", 5).alias("score"), "quality")
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = absolute_weights()
     weight = F.create_map(*[F.lit(x) for m in REPORTED for x in (m, w[m])])[F.col("metric")]
     x = _values(spark, sf_dir)
-    return x.agg(F.round(F.sum(F.col("score") * weight) / F.sum(weight), 6).alias("overall_score"), F.round(F.avg((F.col("quality") != "poor").cast("double")), 6).alias("pass_rate"))
+    return x.agg(F.round(F.sum(F.col("score") * weight) / F.sum(weight), 5).alias("overall_score"), F.round(F.avg((F.col("quality") != "poor").cast("double")), 6).alias("pass_rate"))
 
 
 def _lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def _lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = _values(spark, sf_dir).select(lens.alias("lens"), weight.alias("w"), "score").groupBy("lens").agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("score"))
     of = F.create_map(*[F.lit(x) for k, v in LENS_WEIGHTS.items() for x in (k, v)])[F.col("lens")]
     total = per.agg((F.sum(of * F.col("score")) / F.sum(of)).alias("score")).select(F.lit("overall").alias("lens"), "score")
-    return per.unionByName(total).select("lens", F.round("score", 6).alias("score"))
+    return per.unionByName(total).select("lens", F.round("score", 5).alias("score"))
 
 
 QUERIES: dict[str, Query] = (
