@@ -334,6 +334,11 @@ SELECT a.side, a.path, round(a.cum, 6) AS cum_price, round(b.cum, 6) AS cum_quan
 _VALUE = "(SELECT value FROM ({sql}) WHERE key = 'overall')"
 
 
+def _unrounded(m: str) -> str:
+    """A metric's statement without the rounding of what it shows: scores are of the values themselves."""
+    return ORACLE[m].replace("round(value, 6) AS value", "value")
+
+
 def _reported() -> str:
     from .catalogue import REPORTED
     from .scoring import LENS_SCORED, absolute_weights, thresholds_of
@@ -341,7 +346,7 @@ def _reported() -> str:
     w, out = absolute_weights(), []
     for m in REPORTED:
         e, g, a = thresholds_of(m)
-        out.append(f"SELECT '{m}' AS metric, {_VALUE.format(sql=ORACLE[m])} AS value, {e} AS e, {g} AS g, {a} AS a, {w[m]} AS w, '{LENS_SCORED[m][0]}' AS lens, {LENS_SCORED[m][1]} AS lw")
+        out.append(f"SELECT '{m}' AS metric, {_VALUE.format(sql=_unrounded(m))} AS value, {e} AS e, {g} AS g, {a} AS a, {w[m]} AS w, '{LENS_SCORED[m][0]}' AS lens, {LENS_SCORED[m][1]} AS lw")
     return "v AS (" + " UNION ALL ".join(out) + """), s AS (SELECT *, CASE WHEN value <= e THEN 1 - 0.1 * value / e WHEN value <= g THEN 0.9 - 0.2 * (value - e) / (g - e) WHEN value <= a THEN 0.7 - 0.2 * (value - g) / (a - g) ELSE 0.5 * exp(-(value - a) / (a - e)) END AS score,
 CASE WHEN value < e THEN 'excellent' WHEN value < g THEN 'good' WHEN value < a THEN 'acceptable' ELSE 'poor' END AS quality FROM v)"""
 
