@@ -38,18 +38,19 @@ def with_overall(df: DataFrame, overall: Column | None = None) -> DataFrame:
     return df.select("key", "value").unionByName(df.agg((F.avg("value") if overall is None else overall).alias("value")).select(F.lit("overall").alias("key"), "value"))
 
 
-def running(df: DataFrame, group: Sequence[str], v: str, sums: Sequence[str]) -> DataFrame:
-    """df, of one row for each group and v, with `<sum>_to`: each sum over the rows of the group up to and with v.
+def running(df: DataFrame, group: Sequence[str], v: str, sums: Sequence[str], like: DataFrame) -> DataFrame:
+    """df, of one row for each group and v, with `<sum>_to`: each sum over the rows of the group up to and with v, and `<sum>_all`: over all of them.
 
-    The value axis of a group is cut at approximate quantiles; totals of the
+    The value axis of a group is cut at approximate quantiles of `like` (group,
+    v), the rows that df counts: only sketches of them are shuffled. Totals of the
     buckets are summed over a few rows, values only inside their bucket, so a
     group of any size is spread over BUCKETS tasks."""
     group = list(group)
-    bounds = df.groupBy(*group).agg(F.percentile_approx(v, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
+    bounds = like.groupBy(*group).agg(F.percentile_approx(v, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
     cut = df.join(F.broadcast(bounds), group).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(v)))).drop("_cuts")
     order = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*group, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    totals = totals.select(*group, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(order), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    totals = totals.select(*group, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(order), F.lit(0)).alias(f"_o_{s}") for s in sums], *[F.sum(f"_t_{s}").over(Window.partitionBy(*group)).alias(f"{s}_all") for s in sums])
     inside = Window.partitionBy(*group, "_b").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.withColumns({f"_i_{s}": F.sum(s).over(inside) for s in sums}).join(F.broadcast(totals), [*group, "_b"])
     return out.withColumns({f"{s}_to": F.col(f"_i_{s}") + F.col(f"_o_{s}") for s in sums}).drop("_b", *[f"_i_{s}" for s in sums], *[f"_o_{s}" for s in sums])
@@ -59,18 +60,16 @@ def ks(long: DataFrame, group: str = "feature") -> DataFrame:
     """(group, n_real, n_syn, ks): the largest gap of the two sides' distribution functions. long: side, group, v."""
     real = (F.col("side") == "real").cast("long")
     c = long.groupBy(group, "v").agg(F.sum(real).alias("r"), F.sum(1 - real).alias("s"))
-    n = c.groupBy(group).agg(F.sum("r").alias("n_real"), F.sum("s").alias("n_syn"))
-    r = running(c, [group], "v", ["r", "s"]).join(F.broadcast(n), group)
-    gap = F.abs(F.col("s_to") / F.nullif("n_syn", F.lit(0)) - F.col("r_to") / F.nullif("n_real", F.lit(0)))
-    return r.groupBy(group).agg(F.first("n_real").alias("n_real"), F.first("n_syn").alias("n_syn"), F.max(gap).alias("ks"))
+    r = running(c, [group], "v", ["r", "s"], long)
+    gap = F.abs(F.col("s_to") / F.nullif("s_all", F.lit(0)) - F.col("r_to") / F.nullif("r_all", F.lit(0)))
+    return r.groupBy(group).agg(F.max("r_all").alias("n_real"), F.max("s_all").alias("n_syn"), F.max(gap).alias("ks"))
 
 
 def quantiles(long: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(group, n, q array): quantiles between order statistics, linear, exact. long: group, v."""
     group = list(group)
     c = long.groupBy(*group, "v").agg(F.count("*").alias("c"))
-    n = c.groupBy(*group).agg(F.sum("c").alias("n"))
-    r = running(c, group, "v", ["c"]).join(F.broadcast(n), group)
+    r = running(c, group, "v", ["c"], long).withColumnRenamed("c_all", "n")
     cols = []
     for p in probs:
         place = (F.col("n") - 1) * F.lit(float(p))
@@ -85,17 +84,15 @@ def quantiles(long: DataFrame, group: Sequence[str], probs: Sequence[float]) ->
 
 
 def mid_ranks(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Each side's rows with features replaced by their ranks, ties sharing the middle, and `n_<feature>` present values."""
+    """Each side's rows with features replaced by their ranks, ties sharing the middle, and `n_<feature>` present values (both NULL where the feature is)."""
     long = df.select("side", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in features])).alias("c")).select("side", "c.feature", "c.v").where("v is not null")
     c = long.groupBy("side", "feature", "v").agg(F.count("*").alias("c"))
-    ranks = running(c, ["side", "feature"], "v", ["c"]).select("side", "feature", "v", (F.col("c_to") - (F.col("c") - 1) / 2.0).alias("rank"))
-    n = c.groupBy("side").pivot("feature", list(features)).agg(F.sum("c"))
-    n = n.select("side", *[F.col(f).alias(f"n_{f}") for f in features])
+    ranks = running(c, ["side", "feature"], "v", ["c"], long).select("side", "feature", "v", (F.col("c_to") - (F.col("c") - 1) / 2.0).alias("rank"), "c_all")
     out = df.select("side", *keep, *features)
     for f in features:
-        one = ranks.where(F.col("feature") == f).select(F.col("side").alias("_s"), F.col("v").alias("_v"), F.col("rank").alias(f"r_{f}"))
+        one = ranks.where(F.col("feature") == f).select(F.col("side").alias("_s"), F.col("v").alias("_v"), F.col("rank").alias(f"r_{f}"), F.col("c_all").alias(f"n_{f}"))
         out = out.join(one, (F.col("side") == F.col("_s")) & (F.col(f) == F.col("_v")), "left").drop("_s", "_v")
-    return out.join(F.broadcast(n), "side").select("side", *keep, *[F.col(f"r_{f}").alias(f) for f in features], *[f"n_{f}" for f in features])
+    return out.select("side", *keep, *[F.col(f"r_{f}").alias(f) for f in features], *[f"n_{f}" for f in features])
 
 
 def distance(features: Sequence[str], a: str, b: str) -> Column:

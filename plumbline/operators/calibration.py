@@ -28,8 +28,7 @@ def _pit(c: DataFrame) -> DataFrame:
 def _uniform_ks(p: DataFrame, group: list[str]) -> DataFrame:
     """(group, ks) of v against the uniform distribution."""
     c = p.groupBy(*group, "v").agg(F.count("*").alias("c"))
-    n = c.groupBy(*group).agg(F.sum("c").alias("n"))
-    r = running(c, group, "v", ["c"]).join(F.broadcast(n), group)
+    r = running(c, group, "v", ["c"], p).withColumnRenamed("c_all", "n")
     gap = F.greatest(F.col("c_to") / F.col("n") - F.col("v"), F.col("v") - (F.col("c_to") - F.col("c")) / F.col("n"))
     return r.groupBy(*group).agg(F.max(gap).alias("ks"))
 

@@ -62,9 +62,8 @@ def hill_tail_index(panel: Flat, tail: float = 0.05, least: int = 500) -> DataFr
     c = long.groupBy("side", "g", "v").agg(F.count("*").alias("c"))
     from ..functions.stats import running
 
-    n = c.groupBy("side", "g").agg(F.sum("c").alias("n"))
     k = F.greatest(F.lit(10), F.floor(F.col("n") * tail))
-    u = running(c, ["side", "g"], "v", ["c"]).join(F.broadcast(n), ["side", "g"]).groupBy("side", "g", "n").agg(F.min(F.when(F.col("c_to") > F.col("n") - k - 1, F.col("v"))).alias("u"))
+    u = running(c, ["side", "g"], "v", ["c"], long).withColumnRenamed("c_all", "n").groupBy("side", "g", "n").agg(F.min(F.when(F.col("c_to") > F.col("n") - k - 1, F.col("v"))).alias("u"))
     above = c.join(F.broadcast(u), ["side", "g"]).where(F.col("v") > F.greatest("u", F.lit(1e-12)))
     hill = above.groupBy("side", "g", "u", "n").agg(F.sum("c").alias("m"), (F.sum(F.col("c") * F.log(F.col("v") / F.when(F.col("u") > 1e-12, F.col("u")))) / F.sum("c")).alias("h"))
     hill = hill.where(f"u > 1e-12 and m >= 5 and n >= {least}")
