@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the value axis in running sums.
-BUCKETS = 64
+#: Buckets of the value axis in running sums: so many coarse ones, each of as many fine ones.
+WAYS = 20
+#: Parts that a group is dealt to before its first rows are taken.
+SALTS = 64
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -38,24 +40,50 @@ def with_overall(df: DataFrame, overall: Column | None = None) -> DataFrame:
     return df.select("key", "value").unionByName(df.agg((F.avg("value") if overall is None else overall).alias("value")).select(F.lit("overall").alias("key"), "value"))
 
 
+def cuts(v: str) -> Column:
+    """Aggregate: approximate quantiles that cut the value axis into WAYS^2 buckets; `coarse`, every WAYS-th of them, and `fine`, those between."""
+    n = WAYS * WAYS
+    q = F.percentile_approx(v, [i / n for i in range(1, n)], 5_000)
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(WAYS - 1)), lambda i: F.get(q, i * WAYS - 1))
+    fine = F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda i: F.slice(q, i * WAYS + 1, F.lit(WAYS - 1)))
+    return F.struct(coarse.alias("coarse"), fine.alias("fine"))
+
+
+def bucketed(df: DataFrame, at: str, v: str, into: str) -> DataFrame:
+    """df with `into`: how many of the cuts in `at` lie below v, which is dropped; found among the coarse ones, then among the fine ones there."""
+    step = df.withColumn(into, F.size(F.filter(F.col(at)["coarse"], lambda c: c < F.col(v))))
+    return step.withColumn(into, F.col(into) * WAYS + F.coalesce(F.size(F.filter(F.get(F.col(at)["fine"], F.col(into)), lambda c: c < F.col(v))), F.lit(0))).drop(at)
+
+
 def running(df: DataFrame, group: Sequence[str], v: str, sums: Sequence[str], like: DataFrame) -> DataFrame:
     """df, of one row for each group and v, with `<sum>_to`: each sum over the rows of the group up to and with v, and `<sum>_all`: over all of them.
 
     The value axis of a group is cut at approximate quantiles of `like` (group,
     v), the rows that df counts: only sketches of them are shuffled. Totals of the
     buckets are summed over a few rows, values only inside their bucket, so a
-    group of any size is spread over BUCKETS tasks."""
+    group of any size is spread over WAYS^2 tasks; the totals join on the keys by
+    which the values lie already."""
     group = list(group)
-    bounds = like.groupBy(*group).agg(F.percentile_approx(v, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
-    cut = df.join(F.broadcast(bounds), group).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(v)))).drop("_cuts")
+    bounds = like.groupBy(*group).agg(cuts(v).alias("_cuts"))
+    cut = bucketed(df.join(F.broadcast(bounds), group), "_cuts", v, "_b")
     order = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*group, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     totals = totals.select(*group, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(order), F.lit(0)).alias(f"_o_{s}") for s in sums], *[F.sum(f"_t_{s}").over(Window.partitionBy(*group)).alias(f"{s}_all") for s in sums])
     inside = Window.partitionBy(*group, "_b").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.withColumns({f"_i_{s}": F.sum(s).over(inside) for s in sums}).join(F.broadcast(totals), [*group, "_b"])
+    out = cut.withColumns({f"_i_{s}": F.sum(s).over(inside) for s in sums}).join(totals, [*group, "_b"])
     return out.withColumns({f"{s}_to": F.col(f"_i_{s}") + F.col(f"_o_{s}") for s in sums}).drop("_b", *[f"_i_{s}" for s in sums], *[f"_o_{s}" for s in sums])
 
 
+def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], cap: int, number: str) -> DataFrame:
+    """The first `cap` rows of each group in order, with their number from 1.
+
+    Each group is dealt to SALTS parts, of which only the first rows go on."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    of = lambda *by: F.row_number().over(Window.partitionBy(*group, *by).orderBy(*order))
+    few = salted.withColumn(number, of("_salt")).where(F.col(number) <= cap).drop("_salt", number)
+    return few.withColumn(number, of()).where(F.col(number) <= cap)
+
+
 def ks(long: DataFrame, group: str = "feature") -> DataFrame:
     """(group, n_real, n_syn, ks): the largest gap of the two sides' distribution functions. long: side, group, v."""
     real = (F.col("side") == "real").cast("long")

@@ -9,19 +9,30 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import uniform
+from ..functions.stats import bucketed, cuts, uniform
 from ..sources.panels import Flat, Paths
 
 
 def numbered(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """df with `idx` 0.. in order: rows are dealt to ranges of the first order column, numbered inside, and offset by the ranges before."""
+    """df with `idx` 0.. in order: rows are dealt to ranges of the first order column, numbered inside, and offset by the ranges before.
+
+    Rows whose first order column equals a cut are a range of their own, which
+    is dealt again by the second column, so a value that holds much of the table
+    is no single task's."""
     lead = order[0]
-    cuts = df.agg(F.percentile_approx(lead, [i / 32 for i in range(1, 32)], 1000).alias("_cuts"))
-    cut = df.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(lead)))).drop("_cuts")
-    n = cut.groupBy("_b").agg(F.count("*").alias("_n"))
-    off = n.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
-    return cut.withColumn("_i", inside).join(F.broadcast(off), "_b").withColumn("idx", F.col("_i") + F.col("_o")).drop("_b", "_i", "_o")
+    bounds = df.agg(cuts(lead).alias("_cuts"))
+    bounds = bounds.withColumn("_at", F.array_distinct(F.concat("_cuts.coarse", F.flatten("_cuts.fine"))))
+    cut = bucketed(df.join(F.broadcast(bounds)), "_cuts", lead, "_b")
+    cut = cut.withColumn("_b", 2 * F.col("_b") + F.coalesce(F.array_contains("_at", F.col(lead)), F.lit(False)).cast("int")).drop("_at")
+    if len(order) > 1:
+        again = cut.where(F.col("_b") % 2 == 1).groupBy("_b").agg(cuts(order[1]).alias("_cuts"))
+        cut = bucketed(cut.join(F.broadcast(again), "_b", "left"), "_cuts", order[1], "_c").withColumn("_c", F.greatest("_c", F.lit(0)))
+    else:
+        cut = cut.withColumn("_c", F.lit(0))
+    n = cut.groupBy("_b", "_c").agg(F.count("*").alias("_n"))
+    off = n.select("_b", "_c", F.coalesce(F.sum("_n").over(Window.orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_b", "_c").orderBy(*order)) - 1
+    return cut.withColumn("_i", inside).join(off, ["_b", "_c"]).withColumn("idx", F.col("_i") + F.col("_o")).drop("_b", "_c", "_i", "_o")
 
 
 def _place(seed: int, n: Column, *parts: Column | str) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import energy, quantiles, rows
+from ..functions.stats import energy, first_rows, quantiles, rows
 from ..sources.panels import REAL, Forecast, Paths
 from . import calibration as cal
 
@@ -21,8 +21,8 @@ def regime_conditional(paths: Paths, n_regimes: int = 3, cap: int = 5000, weight
     total = binned.agg(F.count_if(F.col("side") == REAL).alias("nr"), F.count_if(F.col("side") != REAL).alias("ns"))
     mass = share.join(F.broadcast(total)).agg((F.sum(F.abs(F.col("s") / F.col("ns") - F.col("r") / F.col("nr"))) / 2).alias("mass"))
     steps = paths.df.join(binned, ["side", "path"])
-    first = steps.withColumn("_k", F.row_number().over(Window.partitionBy("side", "regime").orderBy("path", "t"))).where(F.col("_k") <= cap).dropna(subset=list(paths.features))
-    e = energy(first.withColumn("_id", F.col("_k")), paths.features, ["regime"])
+    first = first_rows(steps, ["side", "regime"], ["path", "t"], cap, "_id").dropna(subset=list(paths.features))
+    e = energy(first, paths.features, ["regime"])
     e = e.select("regime", F.when((F.col("n_syn") < 50) | (F.col("n_real") < 50), 1.0).otherwise(F.col("energy") / (F.col("scale") + 1e-10)).alias("value"))
     one = e.agg(*[F.coalesce(F.max(F.when(F.col("regime") == i, F.col("value"))), F.lit(1.0)).alias(f"regime_{i}") for i in range(n_regimes)]).crossJoin(mass)
     w = [x / sum(weights) for x in weights]
@@ -38,7 +38,7 @@ def _pools(fc: Forecast, axis: str, least: int, cap: int) -> tuple[DataFrame, Da
 
     def pool(df: DataFrame, order: list[str]) -> DataFrame:
         x = df.dropna(subset=list(fc.features)).join(labels, "obs")
-        return x.withColumn("_id", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("_id") <= cap).select("label", "_id", *fc.features)
+        return first_rows(x, ["label"], order, cap, "_id").select("label", "_id", *fc.features)
 
     return pool(fc.actuals, ["obs"]), pool(fc.samples, ["obs", "sample"])
 

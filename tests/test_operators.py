@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions.stats import mid_ranks, quantiles, safe_corr
+from plumbline.functions.stats import first_rows, mid_ranks, quantiles, running, safe_corr
 from plumbline.operators import baselines, calibration, conditional, dependence, generative, joint, marginal, temporal
 from plumbline.plans import api
 from plumbline.sources.panels import Flat, Forecast, Paths
@@ -126,6 +126,31 @@ def test_kernels_against_numpy(spark):
     assert df.select(F.lit(1.0).alias("c"), "f0").agg(safe_corr(F.col("c"), F.col("f0"))).head()[0] is None
 
 
+def test_running_sums_with_a_hot_value(spark):
+    g = np.random.default_rng(9)
+    v = np.concatenate([np.full(700, 3.0), g.normal(0, 9, 1300)])
+    long = spark.createDataFrame([("a" if i % 3 else "b", float(x)) for i, x in enumerate(v)], "g string, v double").repartition(5)
+    got = running(long.groupBy("g", "v").agg(F.count("*").alias("c")), ["g"], "v", ["c"], long).collect()
+    of = {k: np.array([x for i, x in enumerate(v) if ("a" if i % 3 else "b") == k]) for k in "ab"}
+    assert len(got) == sum(len(np.unique(x)) for x in of.values())
+    assert all(r["c_to"] == (of[r["g"]] <= r["v"]).sum() and r["c_all"] == len(of[r["g"]]) for r in got)
+
+
+def test_first_rows_of_hot_groups(spark):
+    rows = [("hot" if i % 4 else "rare", (i * 37) % 1000, i) for i in range(1000)]
+    got = first_rows(spark.createDataFrame(rows, "g string, k int, i int").repartition(6), ["g"], ["k"], 300, "n").collect()
+    want = [(g, k, n + 1) for g in ("hot", "rare") for n, k in enumerate(sorted(k for h, k, _ in rows if h == g)[:300])]
+    assert sorted((r["g"], r["k"], r["n"]) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("order", [("a", "b"), ("b",)])
+def test_numbered_with_a_hot_lead(spark, order):
+    rows = [(7 if i % 3 else i % 50, i) if i else (None, i) for i in range(2000)]
+    got = baselines.numbered(spark.createDataFrame(rows, "a int, b int").repartition(6), order).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])) if order == ("a", "b") else sorted(rows, key=lambda r: r[1])
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["idx"])] == want and sorted(r["idx"] for r in got) == list(range(2000))
+
+
 def test_missing_values(spark):
     rows = [(s, i, float("nan") if i % 7 == 0 else float(i % 11), None if i % 5 == 0 else float(i % 13)) for s in ("real", "synthetic") for i in range(200)]
     p = Flat.of(spark.createDataFrame(rows, "side string, row int, f0 double, f1 double"), ("f0", "f1"), ("row",))
