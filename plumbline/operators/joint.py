@@ -98,8 +98,8 @@ def signature_features(paths: Paths) -> tuple[DataFrame, tuple[str, ...]]:
     return x.groupBy("side", "path").agg(*first, *second), names
 
 
-def signature_distance(paths: Paths, cap: int = 1500, seed: int | None = None) -> DataFrame:
-    """Energy distance of signature features, standardised by the real side, over their mean real length."""
+def signature_distance(paths: Paths, cap: int = 1500, seed: int | None = 0) -> DataFrame:
+    """Energy distance of signature features, standardised by the real side, over their mean real length; of a side of more than `cap` paths, those of least seeded hash (seed=None: of least id)."""
     x, names = signature_features(paths)
     order = [uniform(seed, "path")] if seed is not None else []
     one = lambda s: x.where(F.col("side") == s).orderBy(*order, "path").limit(cap)
