@@ -154,18 +154,19 @@ FEATURES = 7
 def features(b: Block) -> list[float]:
     n = len(b.text)
     words = b.text.count(" ") + 1
-    return [1.0, min(np.log1p(words), 6.0), b.linked / n, 1.0 if b.text[-1] in _BREAKS else 0.0, sum(map(b.text.count, ".,;:!?")) / words, sum(map(b.text[:400].count, "0123456789")) / min(n, 400), 1.0 if b.tag == "p" else 0.5 if b.tag in _HEADINGS else 0.0]
+    return [1.0, min(np.log1p(words), 6.0), b.linked / n, 1.0 if b.text[-1] in _BREAKS else 0.0, sum(map(b.text.count, ".,;:!?")) / words, sum(map(b.text.count, "0123456789")) / n, 1.0 if b.tag == "p" else 0.5 if b.tag in _HEADINGS else 0.0]
 
 
 #: What the fit starts from and is drawn to: long, unlinked paragraphs that end in a stop are content.
 PRIOR = np.array([-1.5, 0.5, -3.0, 0.5, 0.5, -1.0, 1.0])
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, pull: float = 20.0) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn to PRIOR; classes weigh the same."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, pull: float = 20.0, times: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps, drawn to PRIOR; classes weigh the same. times: how often each row stands."""
     beta = PRIOR.copy()
-    n = [max(1, int((y == c).sum())) for c in (0, 1)]
-    weight = np.where(y == 1, len(y) / n[1], len(y) / n[0]) / 2 if len(y) else np.zeros(0)
+    times = np.ones(len(y)) if times is None else times.astype(float)
+    n = [max(1.0, times[y == c].sum()) for c in (0, 1)]
+    weight = times * np.where(y == 1, times.sum() / n[1], times.sum() / n[0]) / 2
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         gradient = x.T @ (weight * (y - p)) - pull * (beta - PRIOR)
@@ -302,8 +303,8 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
     rows = sorted(((list(r["row"]), r["count"]) for r in rows))
     if not rows:
         return PRIOR
-    x = np.array([r for r, _ in rows]).repeat([min(c, 1000) for _, c in rows], axis=0)
-    return fit(x[:, :-1], x[:, -1]) if 0 < x[:, -1].sum() < len(x) else PRIOR
+    x = np.array([r for r, _ in rows])
+    return fit(x[:, :-1], x[:, -1], times=np.array([c for _, c in rows])) if 0 < x[:, -1].sum() < len(x) else PRIOR
 
 
 def extract_pages(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
