@@ -126,23 +126,29 @@ def band_keys(signature: np.ndarray, settings: Settings) -> np.ndarray:
     return w.mix(out + np.arange(settings.bands, dtype=U)).astype(np.int64)
 
 
+def set_hashes(row: np.ndarray, value: np.ndarray, n_rows: int) -> list[bytes | None]:
+    """What a class is known by: two sums over its shingles and their number; None for the empty set."""
+    n = np.bincount(row, minlength=n_rows)
+    first = np.searchsorted(row, np.arange(n_rows + 1))
+    sums = []
+    for salt in (1, 2):
+        total = np.concatenate([np.zeros(1, U), np.cumsum(w.mix(value ^ w.mix(np.full(1, salt, U))))])
+        sums.append(total[first[1:]] - total[first[:-1]])
+    digest = np.stack([*sums, n.astype(U)], axis=1)
+    return [d.tobytes() if c else None for d, c in zip(digest, n, strict=True)]
+
+
 def sketch(docs: DataFrame, settings: Settings) -> DataFrame:
     """doc_id, n_shingles, set_hash (null for the empty set), bands, low (a byte of each slot)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in w.pieces(batches, "text"):
             row, value = shingles(w.Words(data, off, w.spaced(), fold=True), settings.shingle)
             n = np.bincount(row, minlength=len(part))
-            first = np.searchsorted(row, np.arange(len(part) + 1))
-            sums = []
-            for salt in (1, 2):
-                total = np.concatenate([np.zeros(1, U), np.cumsum(w.mix(value ^ w.mix(np.full(1, salt, U))))])
-                sums.append(total[first[1:]] - total[first[:-1]])
             signature = superminhash(row, value, len(part), settings.slots)
             keys, low = band_keys(signature, settings), w.mix(signature).astype(np.uint8)
-            digest = np.stack([*sums, n.astype(U)], axis=1)
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array(n, pa.int64()),
-                pa.array([d.tobytes() if c else None for d, c in zip(digest, n, strict=True)], pa.binary()),
+                pa.array(set_hashes(row, value, len(part)), pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * settings.bands), pa.array(keys.ravel())),
                 pa.array([x.tobytes() for x in low], pa.binary()),
             ], names=["doc_id", "n_shingles", "set_hash", "bands", "low"])
@@ -178,15 +184,15 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _prints(texts: DataFrame, settings: Settings) -> DataFrame:
-    """(id, prints): the shingle set of each text, 6 bytes of each fingerprint in order."""
+    """(set_hash, prints): each shingle set of the texts, 6 bytes of each fingerprint in order. By set, not id: an id may have several texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in w.pieces(batches, "text"):
             row, value = shingles(w.Words(data, off, w.spaced(), fold=True), settings.shingle)
             raw = (value >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
             first = np.searchsorted(row, np.arange(len(part) + 1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[first[i] : first[i + 1]].tobytes() for i in range(len(part))], pa.binary())], names=["id", "prints"])
+            yield pa.RecordBatch.from_arrays([pa.array(set_hashes(row, value, len(part)), pa.binary()), pa.array([raw[first[i] : first[i + 1]].tobytes() for i in range(len(part))], pa.binary())], names=["set_hash", "prints"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, prints binary").dropDuplicates(["id"])
+    return texts.select("id", "text").mapInArrow(run, "set_hash binary, prints binary").where("set_hash is not null").dropDuplicates(["set_hash"])
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -198,20 +204,20 @@ def _unpack(raw: bytes) -> np.ndarray:
 def _across(members: DataFrame, settings: Settings) -> DataFrame:
     """Links between classes of one bucket and different components.
 
-    members: key, id, part (its component), low, bands, prints, n (classes in the
-    bucket). A bucket is dealt as pairs of blocks of about `block` classes. Inside
+    members: key, id, set_hash, part (its component), low, bands, prints, n (classes
+    in the bucket); classes of one id are one component. A bucket is dealt as pairs of blocks of about `block` classes. Inside
     one, a pair is looked at in the first band that it shares, if its parts
     differ and enough slots agree, and then held on its full sets; links that
     tie what earlier ones have tied are not returned, so rows are no more than
     the block's classes."""
     blocks = F.ceil(F.col("n") / settings.block).cast("int")
-    own_block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rest = ("id", "part", "low", "bands", "prints")
+    own_block = F.pmod(F.xxhash64("set_hash"), blocks).cast("int")
+    rest = ("id", "set_hash", "part", "low", "bands", "prints")
     dealt = members.withColumn("own", own_block).select("key", *rest, "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("key", *rest, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values(["id", "set_hash"])
         low = np.stack([np.frombuffer(x, np.uint8) for x in pdf["low"]])
         bands = np.stack(list(pdf["bands"])).astype(np.int64)
         here = int(np.flatnonzero(bands[0] == pdf["key"].iloc[0])[0])
@@ -265,10 +271,12 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     in_bucket = met.select("key", F.col("b").alias("id"), "n")
     labelled = in_bucket.join(parts, in_bucket["id"] == parts["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
     mixed = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    members = cut(labelled.join(mixed, "key", "left_semi"))
+    members = cut(labelled.join(mixed, "key", "left_semi").dropDuplicates(["key", "id"]))
     wanted = members.select("id").distinct()
     prints = cut(_prints(texts.join(wanted, "id", "left_semi"), settings))
-    more = cut(_across(members.join(classes.select("id", "low", "bands"), "id").join(prints, "id"), settings))
+    # several classes may have one id; those of a bucket have its key among their bands
+    of_bucket = members.join(classes.select("id", "set_hash", "low", "bands"), "id").where("array_contains(bands, key)")
+    more = cut(_across(of_bucket.join(prints, "set_hash"), settings))
     if more.head(1):
         links = links.union(more)
         parts = cut(components(links))
