@@ -362,3 +362,36 @@ def _with_reports() -> None:
 
 
 _with_reports()
+
+
+def _seeded_c2st() -> str:
+    """c2st on the rows of least hash by seed 0, as the operator takes them unless told otherwise."""
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    parts = " || '|' || ".join(("'0'", *columns))
+    return _unrounded("c2st").replace("ORDER BY l_orderkey", f"ORDER BY {_hash(parts)}, l_orderkey")
+
+
+def _with_whole_reports() -> None:
+    """The reports over every metric: their own statements, beside those of the four."""
+    from .catalogue import FLAT_REPORTED
+    from .scoring import LENS_SCORED, LENS_WEIGHTS, absolute_weights, thresholds_of
+
+    w, own = absolute_weights(), {"c2st": _seeded_c2st(), "conditional_sensitivity": _unrounded("multi_axis_sensitivity")}
+
+    def scored(names) -> str:
+        out = []
+        for m in names:
+            e, g, a = thresholds_of(m)
+            lens, lw = LENS_SCORED.get(m, ("", 0.0))
+            out.append(f"SELECT '{m}' AS metric, {_VALUE.format(sql=own.get(m) or _unrounded(m))}::DOUBLE AS value, {e}::DOUBLE AS e, {g}::DOUBLE AS g, {a}::DOUBLE AS a, {w.get(m, 0.0)}::DOUBLE AS w, '{lens}' AS lens, {lw}::DOUBLE AS lw")
+        return "v AS MATERIALIZED (" + " UNION ALL ".join(out) + """), s AS (SELECT *, CASE WHEN value IS NULL OR NOT isfinite(value) THEN 0 WHEN value <= e THEN 1 - 0.1 * greatest(value, 0) / e WHEN value <= g THEN 0.9 - 0.2 * (value - e) / (g - e) WHEN value <= a THEN 0.7 - 0.2 * (value - g) / (a - g) ELSE 0.5 * exp(-(value - a) / (a - e)) END AS score,
+CASE WHEN value IS NULL OR NOT isfinite(value) THEN 'poor' WHEN value < e THEN 'excellent' WHEN value < g THEN 'good' WHEN value < a THEN 'acceptable' ELSE 'poor' END AS quality FROM v)"""
+
+    flat = scored(FLAT_REPORTED)
+    lens = "CASE lens " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LENS_WEIGHTS.items()) + " END"
+    ORACLE["scores_and_grades_all"] = f"WITH {flat} SELECT metric, round(value, 6) AS value, round(score, 5) AS score, quality FROM s"
+    ORACLE["validate_report_all"] = f"WITH {flat} SELECT round(sum(score * w) / sum(w), 5) AS overall_score, round(avg((quality <> 'poor')::INT), 6) AS pass_rate FROM s"
+    ORACLE["lens_report_all"] = f"WITH {scored(LENS_SCORED)}, l AS (SELECT lens, sum(lw * score) / sum(lw) AS score FROM s GROUP BY lens) SELECT lens, round(score, 5) AS score FROM (SELECT lens, score FROM l UNION ALL SELECT 'overall', sum({lens} * score) / sum({lens}) FROM l)"
+
+
+_with_whole_reports()
