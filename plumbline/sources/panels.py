@@ -162,7 +162,10 @@ def supplier_paths(spark: SparkSession, sf_dir: str, horizon: int = 60) -> Paths
     whole = F.floor((F.col("all") - 1) / horizon) * horizon
     x = x.where(F.col("n") - 2 < whole)
     side = F.when(F.col("l_suppkey") % 2 == 0, REAL).otherwise(SYNTHETIC)
-    return Paths.of(x.select(side.alias("side"), (F.col("l_suppkey") * 1000 + F.floor((F.col("n") - 2) / horizon)).alias("path"), ((F.col("n") - 2) % horizon).cast("int").alias("t"), "price", "quantity"), ("price", "quantity"))
+    block, supplier = F.floor((F.col("n") - 2) / horizon), F.col("l_suppkey").cast("long")
+    # block 1000 and later would run into the ids of other suppliers: those have ids of their own, below 0
+    path = F.when(block < 1000, supplier * 1000 + block).otherwise(-(supplier * F.lit(1 << 31) + block))
+    return Paths.of(x.select(side.alias("side"), path.alias("path"), ((F.col("n") - 2) % horizon).cast("int").alias("t"), "price", "quantity"), ("price", "quantity"))
 
 
 def embedding_points(spark: SparkSession, sf_dir: str, dims: int = 64) -> Flat:
