@@ -1,21 +1,33 @@
 """Main-text extraction as a minimum cut over a page's blocks.
 
 A page is cut into blocks at block-level tags. A classifier gives each block the
-log-odds of being content; its positive part is the capacity from the source, its
+log-odds of being content: its positive part is the capacity from the source, its
 negative part that to the sink. Blocks that follow one another, and the nearest
 earlier block under the same parent, are joined by smoothness edges whose capacity
 falls with their distance in the tree. The source side of the minimum cut is the
-content.
-
-The classifier is a logistic regression on shape (length, links, punctuation,
-digits, tag) plus fixed evidence of container names. It is fitted here, on a
-bounded sample of pages (`SAMPLE_PAGES`), to the blocks whose containers leave
-no doubt; every page is labelled with it.
+content; nothing else decides.
+
+The classifier is a logistic regression over the block's shape (length, links,
+punctuation, digits, tag) and its containers (element names, class, id and role
+words). Names are evidence among others, not verdicts, and an element that wraps the
+page's story (it holds the h1, or most of the page's words) has none: a class
+on body or around the whole article empties no page.
+
+It is fitted here on a bounded sample: about `SAMPLE_PAGES` pages, chosen by hash, and
+at most `SAMPLE_BLOCKS` evenly spread blocks of each. Labels come from what a
+prediction never sees, the title element: the heading that repeats it lies in the
+story, and the smallest element around that heading with half of the page's plain words
+is the story; pages without such a heading, or whose only such element is the body, teach
+nothing. Each block is learned twice, as it is and with its containers hidden, so that
+pages without telling names are read by shape; on pages that hardly use paragraphs any
+block counts as half a paragraph. Weights are drawn to `PRIOR`, which
+stands where the sample says nothing.
 
 Defined results: a null or empty html has no text; a page without content gives
 ''; broken markup is read as far as it goes (an unfinished tag at the end is
 dropped, an end tag without a start is ignored); repeated rows each get a row; no
-pages give no rows; extra columns are not read. Nothing is cut short.
+pages give no rows; very long pages are read whole; extra columns are not read,
+whatever their names. Nothing is cut short.
 """
 
 from __future__ import annotations
@@ -30,85 +42,123 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that the classifier is fitted on, as expected: each page is in with the same chance.
-SAMPLE_PAGES = 2_000
+#: Pages that the classifier is fitted on, as expected (each page is in with the same chance), and blocks of each at most.
+SAMPLE_PAGES, SAMPLE_BLOCKS = 2_000, 48
 
-# Element names of HTML.
-_BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+# Element names of HTML.
+_BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = "script|style|noscript|template|iframe|textarea|title|svg|math|object|video|audio|canvas|noframes|xmp"
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-# Evidence of containers, in log-odds.
-_TAG_EVIDENCE = {"article": 5.0, "main": 4.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -4.0, "menu": -9.0, "dialog": -9.0, "select": -9.0, "fieldset": -9.0, "search": -9.0, "option": -9.0}
-_GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|main|story|text|body|blog)(?:$|[\s_-])")
-_BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|search|menu|nav\w*|breadcrumbs?|toolbar|header|masthead|footer|foot|sidebar|side|aside|widget|related|recommend\w*|share|sharing|social|comments?|replies|reply|respond|discussion|disqus|pagination|pager|tags?|copyright|legal|skip\w*|byline)(?:$|[\s_-])")
-_ROLES = {"navigation": -9.0, "banner": -9.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "alert": -9.0, "dialog": -9.0, "form": -9.0, "main": 4.0, "article": 5.0}
+# What containers are called; how much that says is learned.
+_MAIN_TAGS = frozenset(("article", "main"))
+_ASIDE_TAGS = frozenset("nav footer aside form menu dialog select fieldset search option button legend".split())
+_MAIN_ROLES = frozenset(("main", "article"))
+_ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu button".split())
+_STORY_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|main|story|text|body|blog)(?:$|[\s_-])")
+_ASIDE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|search|menu|nav\w*|breadcrumbs?|toolbar|header|masthead|footer|foot|sidebar|side|aside|widget|related|recommend\w*|share|sharing|social|pagination|pager|tags?|copyright|legal|skip\w*|byline)(?:$|[\s_-])")
+_TALK_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|respond|discussion|disqus)(?:$|[\s_-]|list|area)")
+#: First lines of readers' comments.
+_TALK_LINE = re.compile(r"(?:\d+\s+)?(?:comments?|replies|responses|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d*\)?)?\s*:?", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>" + _RAW + r")\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BREAKS = frozenset(".!?:;")
 
 
 @dataclass
-class Block:
-    text: str
-    path: tuple[int, ...]  # the elements it lies in, from the root
+class Element:
+    """What an element is called: as a story (`main` by tag or role, `story` by name) or not (`aside` by tag or role, `named` by name, `talk`: readers' comments)."""
+
     tag: str
-    evidence: float
-    linked: int  # characters inside links
+    parent: int
+    main: bool = False
+    aside: bool = False
+    story: bool = False
+    named: bool = False
+    talk: bool = False
+    # filled in when the page is read
+    words: int = 0
+    headed: bool = False
+    menu: bool = False
+    blocks: int = 0
 
 
 @dataclass
-class _Open:
+class Block:
+    text: str
+    path: tuple[int, ...]  # the elements it lies in, from the root
     tag: str
-    node: int
-    evidence: float
+    linked: int  # characters inside links
 
 
-def _evidence(tag: str, attrs: str) -> float:
-    out = _TAG_EVIDENCE.get(tag, 0.0)
+def _element(tag: str, attrs: str, parent: int) -> Element:
+    out = Element(tag, parent, tag in _MAIN_TAGS, tag in _ASIDE_TAGS)
     if "=" in attrs or "hidden" in attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
             if name == "role":
-                out += _ROLES.get(value, 0.0)
+                out.main |= value in _MAIN_ROLES
+                out.aside |= value in _ASIDE_ROLES
+            elif name == "style":
+                out.aside |= bool(_UNSEEN.search(value))
             elif name in ("hidden", "aria-hidden"):
-                out += -9.0 if name == "hidden" or value == "true" else 0.0
-            elif _BAD_NAME.search(value):
-                out -= 9.0
-            elif _GOOD_NAME.search(value):
-                out += 3.0
+                out.aside |= name == "hidden" or value == "true"
+            elif _TALK_NAME.search(value):
+                out.talk = True
+            elif _ASIDE_NAME.search(value):
+                out.named = True
+            elif _STORY_NAME.search(value):
+                out.story = True
     return out
 
 
 @dataclass
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=lambda: [Element("", 0)])  # 0: the page
+    stack: list[int] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     in_link: bool = False
-    nodes: int = 0
 
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                top = self.stack
-                bad = min((x.evidence for x in top), default=0.0)
-                good = max((x.evidence for x in top), default=0.0)
-                self.blocks.append(Block(text, tuple(x.node for x in top), top[-1].tag if top else "", min(bad, 0.0) + max(good, 0.0), self.linked))
+                path, tag = tuple(self.stack), self.elements[self.stack[-1]].tag if self.stack else ""
+                plain = (text.count(" ") + 1) if self.linked * 2 < len(text) else 0
+                for x in (0, *path):
+                    e = self.elements[x]
+                    e.words += plain
+                    e.headed |= tag == "h1"
+                    e.menu |= tag == "nav"
+                    e.blocks += 1
+                    if e.blocks == 1 and x and _TALK_LINE.fullmatch(text) and e.tag not in ("html", "body"):
+                        e.talk = True
+                self.blocks.append(Block(text, path, tag, self.linked))
             self.parts, self.linked = [], 0
 
     def close(self, tag: str, within: frozenset[str] = frozenset()) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
+            name = self.elements[self.stack[i]].tag
+            if name == tag:
                 del self.stack[i:]
                 return
-            if self.stack[i].tag in within:
+            if name in within:
                 return
 
-    def read(self, page: str) -> list[Block]:
+    def open(self, tag: str, attrs: str) -> None:
+        parent = self.stack[-1] if self.stack else 0
+        self.elements.append(_element(tag, attrs, parent))
+        self.stack.append(len(self.elements) - 1)
+        if tag == "nav":
+            for x in self.stack:
+                self.elements[x].menu = True
+
+    def read(self, page: str) -> _Reader:
         for m in _TOKEN.finditer(page):
             tag = m["tag"]
             if tag is None:
@@ -138,35 +188,72 @@ class _Reader:
                         self.close("dt", frozenset(("dl",)))
                         self.close("dd", frozenset(("dl",)))
                     self.close("p", _BLOCK - {"p"})
-                    self.nodes += 1
-                    self.stack.append(_Open(tag, self.nodes, _evidence(tag, m["attrs"])))
+                    self.open(tag, m["attrs"])
         self.flush()
-        return self.blocks
+        return self
+
+
+def read(page: str | None) -> _Reader:
+    return _Reader().read(page) if page else _Reader()
 
 
 def blocks(page: str | None) -> list[Block]:
-    return _Reader().read(page) if page else []
+    return read(page).blocks
 
 
-FEATURES = 7
+def _wraps(e: Element, whole: Element) -> bool:
+    """Whether an element holds the page's story, so that its own names say nothing about it."""
+    if e.tag in ("html", "body", ""):
+        return True
+    if e.tag == "header":
+        return e.headed and not e.menu
+    if e.headed and e.words >= 20:
+        return True
+    # most of the words count where no heading tells, and never for an element that says by its tag what it is
+    return (e.main or not whole.headed) and (not e.aside or e.tag == "form") and not e.talk and 2 * e.words > whole.words
 
 
-def features(b: Block) -> list[float]:
+SHAPE = 7
+#: Of each block: SHAPE numbers of its own, then its containers: main or article; story names; aside tags; aside names; readers' comments; a page header.
+FEATURES = SHAPE + 6
+
+
+def shape(b: Block, loose: bool = False) -> list[float]:
     n = len(b.text)
     words = b.text.count(" ") + 1
-    return [1.0, min(np.log1p(words), 6.0), b.linked / n, 1.0 if b.text[-1] in _BREAKS else 0.0, sum(map(b.text.count, ".,;:!?")) / words, sum(map(b.text.count, "0123456789")) / n, 1.0 if b.tag == "p" else 0.5 if b.tag in _HEADINGS else 0.0]
+    return [1.0, min(np.log1p(words), 6.0), b.linked / n, 1.0 if b.text[-1] in _BREAKS else 0.0, sum(map(b.text.count, ".,;:!?")) / words, sum(map(b.text.count, "0123456789")) / n, 1.0 if b.tag == "p" else 0.5 if loose or b.tag in _HEADINGS else 0.0]
+
+
+def containers(of: _Reader) -> list[tuple[float, ...]]:
+    """The container features of each element, summed along its path."""
+    whole, out = of.elements[0], []
+    for i, e in enumerate(of.elements):
+        main, story, aside, named, talk, header = out[e.parent] if i else (0.0,) * 6
+        inside = main > 0
+        main, story = max(main, float(e.main)), max(story, float(e.story and e.tag not in ("html", "body")))
+        if i and not _wraps(e, whole):
+            aside, named, talk = min(2.0, aside + e.aside), min(2.0, named + e.named), max(talk, float(e.talk))
+            header = max(header, float(e.tag == "header" and not inside))
+        out.append((main, story, aside, named, talk, header))
+    return out
 
 
-#: What the fit starts from and is drawn to: long, unlinked paragraphs that end in a stop are content.
-PRIOR = np.array([-1.5, 0.5, -3.0, 0.5, 0.5, -1.0, 1.0])
+def features(of: _Reader) -> np.ndarray:
+    """A row of FEATURES a block."""
+    near = containers(of)
+    loose = 5 * sum(b.text.count(" ") + 1 for b in of.blocks if b.tag == "p") < of.elements[0].words
+    return np.array([[*shape(b, loose), *near[b.path[-1] if b.path else 0]] for b in of.blocks]).reshape(-1, FEATURES)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, pull: float = 20.0, times: np.ndarray | None = None) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn to PRIOR; classes weigh the same. times: how often each row stands."""
+#: What the fit starts from and is drawn to: long, unlinked paragraphs that end in a stop are content; so is what lies in a story's container and in none of the others.
+PRIOR = np.array([-1.5, 0.5, -3.0, 0.5, 0.5, -1.0, 1.0, 1.5, 1.0, -5.0, -5.0, -6.0, -3.0])
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, pull: float = 20.0) -> np.ndarray:
+    """Logistic regression by Newton steps, drawn to PRIOR; classes weigh the same."""
     beta = PRIOR.copy()
-    times = np.ones(len(y)) if times is None else times.astype(float)
-    n = [max(1.0, times[y == c].sum()) for c in (0, 1)]
-    weight = times * np.where(y == 1, times.sum() / n[1], times.sum() / n[0]) / 2
+    n = [max(1.0, float((y == c).sum())) for c in (0, 1)]
+    weight = np.where(y == 1, len(y) / n[1], len(y) / n[0]) / 2
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         gradient = x.T @ (weight * (y - p)) - pull * (beta - PRIOR)
@@ -177,6 +264,30 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, pull: float = 20.0, time
     return beta
 
 
+def told(page: str, of: _Reader) -> np.ndarray | None:
+    """Which blocks the page's title tells to be content; None where it tells nothing."""
+    found = _TITLE.search(page)
+    title = " ".join(html_.unescape(found[1]).split()).casefold() if found else ""
+    if not title:
+        return None
+    for b in of.blocks:
+        name = b.text.casefold()
+        if b.tag not in _HEADINGS or not (name == title or len(name) >= 10 and (title.startswith(name) or name.startswith(title))):
+            continue
+        for x in reversed(b.path):
+            e = of.elements[x]
+            if e.tag in ("html", "body"):
+                break
+            if 2 * e.words >= of.elements[0].words:
+                return np.array([x in other.path for other in of.blocks], float)
+        return None
+    return None
+
+
+#: Log-odds that it costs to part two siblings.
+SMOOTHNESS = 1.0
+
+
 def _distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
     same = 0
     for x, y in zip(a, b, strict=False):
@@ -186,8 +297,8 @@ def _distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
     return len(a) + len(b) - 2 * same
 
 
-def edges(of: list[Block], scale: float = 2.0) -> list[tuple[int, int, int]]:
-    """Smoothness edges (i, j, capacity) between neighbours in the page and in the tree."""
+def edges(of: list[Block], scale: float = SMOOTHNESS) -> list[tuple[int, int, int]]:
+    """Smoothness edges (i, j, capacity) between neighbours in the page and in the tree: `scale` between siblings, half of it for each step farther."""
     out, last = [], {}
     for j, b in enumerate(of):
         near = {j - 1} if j else set()
@@ -195,7 +306,7 @@ def edges(of: list[Block], scale: float = 2.0) -> list[tuple[int, int, int]]:
         if parent in last:
             near.add(last[parent])
         last[parent] = j
-        out += [(i, j, round(1000 * scale / (1 + _distance(of[i].path, b.path)))) for i in sorted(near)]
+        out += [(i, j, round(1000 * scale * 2.0 ** (2 - max(1, _distance(of[i].path, b.path))))) for i in sorted(near)]
     return out
 
 
@@ -279,32 +390,41 @@ def source_side(gain: list[int], links: list[tuple[int, int, int]]) -> list[bool
     return [bool(x) for x in side]
 
 
-def extract(page: str | None, beta: np.ndarray = PRIOR) -> str:
+def extract(page: str | None, beta: np.ndarray = PRIOR, smoothness: float = SMOOTHNESS) -> str:
     """The content blocks of a page, joined by line feeds."""
-    of = blocks(page)
-    if not of:
+    of = read(page)
+    if not of.blocks:
         return ""
-    odds = np.clip(np.array([features(b) for b in of]) @ beta, -2.0, 2.0)
-    gain = [round(1000 * (o + b.evidence)) for o, b in zip(odds, of, strict=True)]
-    return "\n".join(b.text for b, kept in zip(of, source_side(gain, edges(of)), strict=True) if kept)
+    gain = [round(1000 * o) for o in (features(of) @ beta).tolist()]
+    return "\n".join(b.text for b, kept in zip(of.blocks, source_side(gain, edges(of.blocks, smoothness)), strict=True) if kept)
 
 
-def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
+def train(pages: DataFrame, sample: int = SAMPLE_PAGES, each: int = SAMPLE_BLOCKS) -> np.ndarray:
     """The classifier, from about so many pages, chosen by a hash of page_id and url where they are, not sorted or moved."""
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xtx = [[*features(b), 1.0 if b.evidence > 0 else 0.0] for page in batch.column(0) for b in blocks(page.as_py()) if b.evidence >= 3 or b.evidence <= -4]
-            yield pa.RecordBatch.from_arrays([pa.array(xtx, pa.list_(pa.float64()))], names=["row"])
+            out = []
+            for page in batch.column(0):
+                of = read(text := page.as_py())
+                if (y := told(text, of)) is not None:
+                    pick = np.unique(np.linspace(0, len(y) - 1, min(each, len(y))).round().astype(int))
+                    out += [r.tobytes() for r in np.hstack([features(of), y[:, None]])[pick]]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["row"])
 
     share = min(1.0, sample / max(1, pages.count()))
     picked = pages.where(F.col("html").isNotNull() & (F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))).select("html")
-    # a page's blocks are reduced to sums of equal rows before they come to the driver
-    rows = picked.mapInArrow(told, "row array<double>").select(F.transform("row", lambda v: F.round(v, 2)).alias("row")).groupBy("row").count().collect()
-    rows = sorted(((list(r["row"]), r["count"]) for r in rows))
-    if not rows:
+    found = sorted(bytes(r[0]) for r in picked.mapInArrow(rows, "row binary").collect())
+    return learn(np.array([np.frombuffer(r) for r in found]).reshape(-1, FEATURES + 1))
+
+
+def learn(rows: np.ndarray) -> np.ndarray:
+    """The classifier from labelled blocks (features, label); each row also stands with its containers hidden."""
+    if not len(rows) or len({*rows[:, -1]}) < 2:
         return PRIOR
-    x = np.array([r for r, _ in rows])
-    return fit(x[:, :-1], x[:, -1], times=np.array([c for _, c in rows])) if 0 < x[:, -1].sum() < len(x) else PRIOR
+    hidden = rows.copy()
+    hidden[:, SHAPE:FEATURES] = 0
+    both = np.concatenate([rows, hidden])
+    return fit(both[:, :-1], both[:, -1])
 
 
 def extract_pages(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
