@@ -30,12 +30,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as w
 from .components import components
-from .shared import cut, own
+from .shared import carried, cut, row_hash
 
 U = w.U
 
@@ -291,11 +291,15 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """One document of each group, that of the smallest id, with the columns of docs; of several rows of an id any one stays."""
-    key = own(docs, "_id")
+    """One document of each group, that of the smallest id, with the columns of docs; of several rows of an id the one whose text has the least MD5, then the least hash of the row."""
+    docs, back = carried(docs, ("doc_id", "text"))
     judged = cut(group(docs, settings))
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone[key], "left_anti")
-    if judged.where("doc_id is not null and kept").groupBy("doc_id").count().where("count > 1").head(1):
-        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return left
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    again = judged.where("doc_id is not null and kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    if again.head(1):
+        order = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), row_hash(docs))
+        is_again = docs["doc_id"].cast("long") == again["again"]
+        first = left.join(again, is_again, "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+        left = left.join(again, is_again, "left_anti").unionByName(first)
+    return back(left)

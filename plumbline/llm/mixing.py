@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, own, small
+from .shared import carried, cut, own, small
 
 #: Hex digits of the hash that name a bucket.
 DIGITS = 3
@@ -89,11 +89,16 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 def mix_sources(docs: DataFrame, mix: Mix | None = None, domain: Column | None = None) -> DataFrame:
     """The chosen rows of docs with domain, n_tokens and copies (names as `own` gives them): how often each stands in the mix."""
     mix = mix or Mix()
-    names = {c: own(docs, c) for c in ("domain", "n_tokens", "copies")}
-    p = own(docs, "_mix")
+    added = {c: own(docs, c) for c in ("domain", "n_tokens", "copies")}
+    own_domain = own(docs, "_domain")
+    if domain is not None:
+        docs = docs.withColumn(own_domain, domain)
+    docs, back = carried(docs, ("doc_id", "text", "lang", "source"))
+    names, p = {c: c for c in added}, "_mix"
+    given = F.col(docs.columns[-1]) if domain is not None else None
     keyed = docs.withColumns({
         names["n_tokens"]: F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
-        f"{p}d": domain if domain is not None else domain_of(F.col("source")), f"{p}l": F.coalesce("lang", F.lit("")), f"{p}s": F.coalesce("source", F.lit("")),
+        f"{p}d": given if given is not None else domain_of(F.col("source")), f"{p}l": F.coalesce("lang", F.lit("")), f"{p}s": F.coalesce("source", F.lit("")),
     })
     tie = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     leaf = [f"{p}d", f"{p}l", f"{p}s"]
@@ -120,14 +125,15 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None, domain: Column | None =
     order = Window.partitionBy(*leaf).orderBy(f"{p}h", "doc_id", tie).rowsBetween(Window.unboundedPreceding, 0)
     last = rows.where(bucket == end).withColumn(names["copies"], F.col(f"{p}epoch") + (F.sum(names["n_tokens"]).over(order) <= F.col(f"{p}room")).cast("int"))
     out = whole.unionByName(last).where(F.col(names["copies"]) > 0)
-    return out.select(*docs.columns, F.col(f"{p}d").alias(names["domain"]), names["n_tokens"], F.col(names["copies"]).cast("long").alias(names["copies"]))
+    new = (F.col(f"{p}d").alias(added["domain"]), F.col(names["n_tokens"]).alias(added["n_tokens"]), F.col(names["copies"]).cast("long").alias(added["copies"]))
+    out = back(out, *new)
+    return out if domain is None else out.drop(own_domain)
 
 
 def take(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """The mix with the columns of docs: each chosen row as often as it is to be seen."""
-    n = own(docs, "copies")
-    i = own(docs, "_copy")
-    return mix_sources(docs, mix).withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+    docs, back = carried(docs, ("doc_id", "text", "lang", "source"))
+    return back(mix_sources(docs, mix).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
 
 
 ORACLE_SQL = r"""

@@ -28,7 +28,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, own, utf8_size
+from .shared import carried, cut, own, row_hash, utf8_size
 
 SHARDS = 16
 #: Rows that a range should hold, and ranges at most.
@@ -37,13 +37,14 @@ RANGE_ROWS, MAX_RANGES = 20_000, 16_384
 OVERSAMPLE = 16
 #: A range of more than so many times the mean bytes is subdivided, so often at most.
 OVERFULL, ROUNDS = 4, 3
+NEW = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def _order(docs: DataFrame) -> Column:
     """The sort key as one string: digest of the text, id, hash of the row."""
     number = F.lpad(F.hex(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) + F.lit(-(1 << 63))), 16, "0")
     ident = F.when(F.col("doc_id").isNull(), F.lit("-" * 16)).otherwise(number)
-    rest = F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])), 16, "0")
+    rest = F.lpad(F.hex(row_hash(docs)), 16, "0")
     return F.concat(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), ident, rest)
 
 
@@ -110,8 +111,10 @@ def shard(docs: DataFrame, law: str = "bytes", shards: int = SHARDS) -> DataFram
     """docs with size, text_crc32, law, shard, slot and grown_shard (names as `own` gives them)."""
     if law not in ("bytes", "rows", "key"):
         raise ValueError(f"no such law: {law}")
-    names = {c: own(docs, c) for c in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")}
-    key, place, before, start = (own(docs, c) for c in ("_key", "_range", "_before", "_start"))
+    added = [own(docs, c) for c in NEW]
+    docs, back = carried(docs, ("doc_id", "text"))
+    names, (key, place, before, start) = {c: c for c in NEW}, ("_key", "_range", "_before", "_start")
+    new = [F.col(c).alias(a) for c, a in zip(NEW, added, strict=True)]
     size = utf8_size(F.col("text")) + 1
     keyed = docs.withColumns({key: _order(docs), names["size"]: size, names["text_crc32"]: F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
     law_of = F.lit(law)
@@ -140,7 +143,7 @@ def shard(docs: DataFrame, law: str = "bytes", shards: int = SHARDS) -> DataFram
             offsets.append(row)
         base = F.get(F.get(_literal(offsets), F.col(names["shard"])), F.col(place))
         out = dealt.withColumn(names["slot"], (base + F.row_number().over(Window.partitionBy(place, names["shard"]).orderBy(key)) - 1).cast("long"))
-        return out.withColumn(names["law"], law_of).select(*docs.columns, *names.values())
+        return back(out.withColumn(names["law"], law_of), *new)
 
     def offset(of: dict[int, int], at: str = place) -> Column:
         return F.get(_literal([of.get(r, 0) for r in range(len(boundaries) + 1)]), F.col(at))
@@ -154,7 +157,7 @@ def shard(docs: DataFrame, law: str = "bytes", shards: int = SHARDS) -> DataFram
     firsts = _firsts(narrow, key, names["size"], boundaries, offset, rows_before, bytes_before, whole, shards, law)
     first = F.get(_literal([firsts.get(s, 0) for s in range(shards)]), F.col(names["shard"]))
     out = dealt.withColumns({names["slot"]: (F.col(before) - first).cast("long"), names["law"]: law_of, names["grown_shard"]: F.lit(None).cast("int")})
-    return out.select(*docs.columns, *names.values())
+    return back(out, *new)
 
 
 def _literal(values: list) -> Column:

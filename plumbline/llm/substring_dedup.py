@@ -1,24 +1,36 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-Reference: every document. Its indexed reference blocks are word sequences of half
-a window at content-chosen places (anchors): the least fingerprint among the
-blocks inside a window is that window's anchor, so equal windows have equal
-anchors wherever they stand, and about one block in thirteen is indexed. A
-document is parsed against all of them: where a block also stands in a smaller
-document the match is extended over all windows that the anchor answers for (its
-stretch). If the whole stretch stands in a smaller document it is copied into
-the current factor. Where only the block is shared, a factor begins or ends: there
-the single windows are checked. Factors of at least one window become the
-duplicate spans.
+Reference: every document of a smaller id. Its indexed reference blocks are word sequences
+at content-chosen places: the least fingerprint among the half-window sequences
+inside a window is that window's anchor, so equal windows have equal anchors wherever
+they stand, and about one place in thirteen is an anchor. The block of an anchor
+(its stretch) is all the words of the windows that it answers for, 50 to 75 of them, and
+is indexed under its fingerprint with the smallest document that holds it and its place there.
+
+A document is factored against that index. Its blocks that stand in a smaller
+document are copies; where only the anchor is shared, a copy begins or ends inside the
+block, and its single windows are looked up instead (boundary check). Copies from one
+document at one distance are extended into each other (`matches`): each is a
+maximal run of words that the index knows from one source. The parse (`factors`) then goes
+through the document from its first word and always takes, of the matches
+that cover the next word, the one that reaches farthest, as a factor (source, place there,
+length); words that none covers are literals. A factor cut short by the one before it is
+checked at that boundary: with the words before it, it is still a copy of a window or more.
+The words of the factors are the duplicate spans.
+
+The index names one source for a block, the smallest document; a long copy of a later
+document is thus several factors where an earlier one shares parts of it. This changes
+sources and factor lengths, never which words are covered.
 
 All of it is minima per fingerprint, combined before they are dealt, and joins
-that split hot keys; documents without a shared block are only scanned.
+that spread hot keys (`spread_join`); documents without a shared block are only scanned.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`, unchanged; null and wordless texts
-have none; a word goes if a window over it also starts in a document with a
+have none; texts are parsed whole, however long; a word goes if a window over it also starts in a document with a
 smaller id; windows are judged on the input; rows of one id never count against
-each other; rows with null id neither lose words nor count; no documents give no
-rows. Stretches and windows are compared by 128 bits (block and stretch, or two
+each other (rows of one id and different texts are told apart by 31 bits); rows with null id neither
+lose words nor count; repeated rows each get a row; no documents give no rows; extra columns, whatever their
+names, are carried by `remove`, else not read. Blocks and windows are compared by 128 bits (anchor and stretch, or two
 window fingerprints).
 """
 
@@ -34,16 +46,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as w
-from .shared import cut, own
+from .shared import carried, cut, spread_join
 
 U = w.U
 WINDOW = 50
 #: Windows whose anchors are chosen at once; places in such a part fit in 24 bits.
 _PART = 1 << 22
+#: Bits of a place; above them stand those that tell the rows of one id apart.
+_BITS = 32
+_MATCH = "array<struct<at:long,source:long,place:long>>"
 
 
 class Anchors:
-    """The anchors of some texts: place of the block, and the first and last window that it answers for."""
+    """The anchors of some texts: their places, and the first and last window that each answers for."""
 
     def __init__(self, words: w.Words, h: np.ndarray, window: int) -> None:
         block = window // 2
@@ -75,7 +90,7 @@ class Anchors:
         self.row = words.owner()[self.first] if len(ok) else self.first
 
     def stretches(self, h: np.ndarray) -> np.ndarray:
-        """A fingerprint of the words of each anchor's windows, of their number, and of the block's place in them."""
+        """A fingerprint of the words of each anchor's windows, of their number, and of the anchor's place in them."""
         out = np.zeros(len(self.place), U)
         x = w.mix(h ^ U(0x5851F42D4C957F2D))
         step = 1 << 14
@@ -89,25 +104,24 @@ class Anchors:
 
 
 def _tag(raw: bytes) -> int:
-    """16 bits that tell rows of one id apart."""
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=2).digest(), "big")
+    """31 bits that tell rows of one id apart."""
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=4).digest(), "big") >> 1
 
 
-def _places(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray, of: Anchors, first: np.ndarray) -> np.ndarray:
-    """tag << 40 | number of the block's first word in its text."""
-    tags = np.array([_tag(data[off[i] : off[i + 1]].tobytes()) for i in range(len(part))], np.int64)
-    return (tags[of.row] << 40) | (of.place - first[of.row])
+def _tags(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return np.array([_tag(data[off[i] : off[i + 1]].tobytes()) for i in range(len(off) - 1)], np.int64)
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(a, s, doc_id, place) of every anchor: block and stretch fingerprints."""
+    """(a, s, doc_id, place) of every anchor: anchor and stretch fingerprints; place: the row's tag, then the number of the anchor's first word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in w.pieces(batches, "text"):
             words = w.Words(data, off, w.spaced())
             h = words.hashes()
             of = Anchors(words, h, window)
             ids = part.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(of.grams[of.place].astype(np.int64)), pa.array(of.stretches(h).astype(np.int64)), pa.array(ids[of.row].astype(np.int64)), pa.array(_places(part, data, off, of, words.first))], names=["a", "s", "doc_id", "place"])
+            place = (_tags(data, off)[of.row] << _BITS) | (of.place - words.first[of.row])
+            yield pa.RecordBatch.from_arrays([pa.array(of.grams[of.place].astype(np.int64)), pa.array(of.stretches(h).astype(np.int64)), pa.array(ids[of.row].astype(np.int64)), pa.array(place)], names=["a", "s", "doc_id", "place"])
 
     picked = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return picked.mapInArrow(run, "a long, s long, doc_id long, place long")
@@ -121,46 +135,90 @@ def _boundary_windows(listed: DataFrame, window: int) -> DataFrame:
             h = words.hashes()
             of = Anchors(words, h, window)
             first, tags = words.first, part.column(1).to_numpy()
-            pick = _listed(part, "check", of, first)
+            column = part.column(part.schema.get_field_index("check"))
+            wanted = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + first[_rows(column)]
+            pick = np.flatnonzero(np.isin(of.place, wanted))
             size = (of.last - of.first + 1)[pick]
             start = np.repeat(of.first[pick], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             row = np.repeat(of.row[pick], size)
             x, y = (w.grams(h, window, salt)[start].astype(np.int64) if len(start) else np.zeros(0, np.int64) for salt in (11, 23))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(part.column(0).to_numpy()[row]), pa.array((tags[row] << 40) | (start - first[row]))], names=["x", "y", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(part.column(0).to_numpy()[row]), pa.array((tags[row] << _BITS) | (start - first[row]))], names=["x", "y", "doc_id", "place"])
 
     return listed.where(F.size("check") > 0).select("doc_id", "tag", "text", "check").mapInArrow(run, "x long, y long, doc_id long, place long")
 
 
-def _listed(part: pa.RecordBatch, name: str, of: Anchors, first: np.ndarray) -> np.ndarray:
-    """Which anchors are in a list column of places."""
-    column = part.column(part.schema.get_field_index(name))
-    row = np.repeat(np.arange(len(part)), np.diff(column.offsets.to_numpy()))
-    wanted = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + first[row]
-    return np.flatnonzero(np.isin(of.place, wanted))
+def _rows(column: pa.ListArray) -> np.ndarray:
+    """The row of each value of a list column."""
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+
+
+def matches(start: np.ndarray, size: np.ndarray, source: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first word, end, source, place there) of the maximal copies: pieces of one source at one distance that touch are one."""
+    out: list[tuple[int, int, int, int]] = []
+    distance = place - start
+    for i in np.lexsort((start, distance, source)).tolist():
+        a, b = int(start[i]), int(start[i] + size[i])
+        if out and out[-1][2] == source[i] and out[-1][3] - out[-1][0] == distance[i] and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), *out[-1][2:])
+        else:
+            out.append((a, b, int(source[i]), int(place[i])))
+    return sorted(out)
+
+
+def factors(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The greedy parse, without its literals: (first word, length, source, place there). found: as `matches` gives them."""
+    out, at, best, i = [], 0, (0, 0, 0, 0), 0
+    while True:
+        while i < len(found) and found[i][0] <= at:
+            best = max(best, found[i], key=lambda m: m[1])
+            i += 1
+        if best[1] > at:
+            out.append((at, best[1] - at, best[2], best[3] + at - best[0]))
+            at = best[1]
+        elif i < len(found):
+            at = found[i][0]
+        else:
+            return out
+
+
+def _parse(listed: DataFrame, window: int, into: str = "sha") -> DataFrame:
+    """The greedy parse of listed texts from their copied blocks (`copied`) and windows (`windows`). into: sha or text of what is left, or the factors."""
+    kind = "array<struct<start:long,length:long,source:long,place:long>>" if into == "factors" else "string"
 
-
-def _parse(listed: DataFrame, window: int, text_out: bool = False) -> DataFrame:
-    """Greedy parse of listed texts: copied stretches (`copied`) and windows (`windows`) join to factors, whose words go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in w.pieces(batches, "text"):
             words = w.Words(data, off, w.spaced())
             n, first = len(words.start), words.first
             of = Anchors(words, words.hashes(), window)
-            pick = _listed(part, "copied", of, first)
-            column = part.column(part.schema.get_field_index("windows"))
-            row = np.repeat(np.arange(len(part)), np.diff(column.offsets.to_numpy()))
-            single = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + first[row]
-            starts = np.concatenate([of.first[pick], single])
-            sizes = np.concatenate([of.last[pick] - of.first[pick] + window, np.full(len(single), window)])
-            gone = w.covered(starts, sizes, n)
-            kept: list[str] = []
+            pieces = []
+            for name in ("copied", "windows"):
+                column = part.column(part.schema.get_field_index(name))
+                flat, row = column.flatten(), _rows(column)
+                at, source, place = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                at, size = at + first[row], np.full(len(at), window)
+                if name == "copied":  # from the anchor to its whole block
+                    block = np.searchsorted(of.place, at)
+                    shift = at - of.first[block]
+                    at, place, size = at - shift, place - shift, of.last[block] - of.first[block] + window
+                pieces.append((row, at, size, source, place))
+            row, at, size, source, place = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            order = np.argsort(row, kind="stable")
+            bounds = np.searchsorted(row[order], np.arange(len(part) + 1))
+            gone, kept = np.zeros(n, bool), []
             for i in range(len(part)):
-                a, b = first[i], first[i + 1]
-                left = np.flatnonzero(~gone[a:b]) + a
-                kept.append(_rest(words, data, off, i, left) if text_out else hashlib.sha256(b" ".join(words.text(j) for j in left.tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(w.per_row(gone, first), pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "tag", "n_removed", "kept"])
+                of_row = order[bounds[i] : bounds[i + 1]]
+                parsed = factors(matches(at[of_row], size[of_row], source[of_row], place[of_row]))
+                for a, length, *_ in parsed:
+                    gone[a : a + length] = True
+                if into == "factors":
+                    kept.append([{"start": a - int(first[i]), "length": k, "source": s, "place": p} for a, k, s, p in parsed])
+                    continue
+                left = np.flatnonzero(~gone[first[i] : first[i + 1]]) + first[i]
+                kept.append(_rest(words, data, off, i, left) if into == "text" else hashlib.sha256(b" ".join(words.text(j) for j in left.tolist())).hexdigest())
+            type_ = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "length", "source", "place")])) if into == "factors" else pa.string()
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(w.per_row(gone, first), pa.int64()), pa.array(kept, type_)], names=["doc_id", "tag", "n_removed", "kept"])
 
-    return listed.select("doc_id", "tag", "text", "copied", "windows").mapInArrow(run, "doc_id long, tag long, n_removed long, kept string")
+    return listed.select("doc_id", "tag", "text", "copied", "windows").mapInArrow(run, f"doc_id long, tag long, n_removed long, kept {kind}")
 
 
 def _rest(words: w.Words, data: np.ndarray, off: np.ndarray, i: int, left: np.ndarray) -> str:
@@ -177,33 +235,48 @@ def _rest(words: w.Words, data: np.ndarray, off: np.ndarray, i: int, left: np.nd
     return b"".join(out).decode()
 
 
-def _resolved(docs: DataFrame, window: int, text_out: bool = False) -> DataFrame:
-    """(doc_id, tag, n_removed, kept) of the documents that may lose words: kept is the SHA-256 of the kept words, or the text left."""
+def _resolved(docs: DataFrame, window: int, into: str = "sha") -> DataFrame:
+    """(doc_id, tag, n_removed, kept) of the documents that may lose words, as `_parse` gives them."""
+    mask = F.lit((1 << _BITS) - 1)
+    at, tag = F.col("place").bitwiseAND(mask), F.shiftright("place", _BITS)
+    there = F.col("source_place").bitwiseAND(mask)
     all_ = anchors(docs, window)
-    shared = all_.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("low < high").select(F.col("a").alias("k"), "low", (F.col("s0") != F.col("s1")).alias("mixed"))
-    met = cut(all_.join(shared, all_["a"] == shared["k"]).select("a", "s", "doc_id", "place", "low", "mixed"))
-    owner = met.where("mixed").groupBy("a", "s").agg(F.min("doc_id").alias("owner")).withColumnsRenamed({"a": "a2", "s": "s2"})
-    mixed = met.where("mixed").join(owner, (F.col("a") == F.col("a2")) & (F.col("s") == F.col("s2"))).select("doc_id", "place", (F.col("doc_id") > F.col("owner")).alias("copied"))
-    known = met.where("not mixed and doc_id > low").select("doc_id", "place", F.lit(True).alias("copied"))
-    mask = F.lit((1 << 40) - 1)
-    at = F.col("place").bitwiseAND(mask)
-    lists = mixed.union(known).groupBy("doc_id", F.shiftright("place", 40).alias("tag")).agg(F.collect_list(F.when(F.col("copied"), at)).alias("copied"), F.collect_list(F.when(~F.col("copied"), at)).alias("check")).withColumnRenamed("doc_id", "list_id")
+    least = [F.min("doc_id").alias("source"), F.min_by("place", "doc_id").alias("source_place")]
+    shared = all_.groupBy("a").agg(*least, F.max("doc_id").alias("high"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.count("*").alias("n"))
+    shared = cut(shared.where("source < high").select("a", "source", "source_place", (F.col("s0") != F.col("s1")).alias("mixed"), "n"))
+    met = cut(spread_join(all_, shared, ["a"], "n"))
+    # of an anchor with several blocks, the least document of each block
+    blocks = cut(met.where("mixed").groupBy("a", "s").agg(*least, F.count("*").alias("n")))
+    mixed = spread_join(met.where("mixed").drop("source", "source_place"), blocks, ["a", "s"], "n")
+    known = met.where("not mixed and doc_id > source")
+    copy = F.struct(at.alias("at"), "source", there.alias("place"))
+    found = mixed.select("doc_id", "place", "source", "source_place").unionByName(known.select("doc_id", "place", "source", "source_place"))
+    copied = F.col("doc_id") > F.col("source")
+    lists = found.groupBy(F.col("doc_id").alias("list_id"), tag.alias("tag")).agg(F.collect_list(F.when(copied, copy)).cast(_MATCH).alias("copied"), F.collect_list(F.when(~copied, at)).alias("check"))
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in w.slices(w.flat(batch.column(1))[1]):
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_tag((t.as_py() or "").encode()) for t in part.column(1)], pa.int64())], names=["doc_id", "text", "own_tag"])
+        for part, data, off in w.pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_tags(data, off))], names=["doc_id", "text", "own_tag"])
 
     picked = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tagged, "doc_id long, text string, own_tag long")
     lists = lists.hint("shuffle_hash")
     listed = cut(picked.join(lists, (F.col("doc_id") == F.col("list_id")) & (F.col("own_tag") == F.col("tag"))).select("doc_id", "tag", "text", "copied", "check"))
     windows = cut(_boundary_windows(listed, window))
-    least = windows.groupBy("x", "y").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").withColumnsRenamed({"x": "x2", "y": "y2"})
-    double = windows.join(least, (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))).where("doc_id > low").groupBy("doc_id", F.shiftright("place", 40).alias("tag")).agg(F.collect_list(at).alias("windows")).withColumnsRenamed({"doc_id": "wid", "tag": "wtag"})
-    both = listed.join(double, (F.col("doc_id") == F.col("wid")) & (F.col("tag") == F.col("wtag")), "left").where((F.size("copied") > 0) | F.col("windows").isNotNull())
-    both = both.select("doc_id", "tag", "text", "copied", F.coalesce("windows", F.array().cast("array<long>")).alias("windows"))
-    return _parse(both, window, text_out)
+    first = cut(windows.groupBy("x", "y").agg(*least, F.max("doc_id").alias("high"), F.count("*").alias("n")).where("source < high").drop("high"))
+    double = spread_join(windows, first, ["x", "y"], "n").where("doc_id > source").groupBy(F.col("doc_id").alias("wid"), tag.alias("wtag")).agg(F.collect_list(copy).cast(_MATCH).alias("windows"))
+    none = F.array().cast(_MATCH)
+    # texts without a list to check are not moved again
+    plain = listed.where((F.size("check") == 0) & (F.size("copied") > 0)).withColumn("windows", none)
+    both = listed.where(F.size("check") > 0).join(double, (F.col("doc_id") == F.col("wid")) & (F.col("tag") == F.col("wtag")), "left").where((F.size("copied") > 0) | F.col("windows").isNotNull())
+    columns = ["doc_id", "tag", "text", "copied"]
+    both = both.select(*columns, F.coalesce("windows", none).alias("windows"))
+    return _parse(plain.select(*columns, "windows").unionByName(both), window, into)
+
+
+def parse(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, start, length, source, place) of every factor: so many words of the document, from word `start` on, stand in document `source` from word `place` on."""
+    out = _resolved(docs, window, "factors").dropDuplicates(["doc_id", "tag"])
+    return out.select("doc_id", F.explode("kept").alias("f")).select("doc_id", "f.*")
 
 
 def dedup_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -228,15 +301,13 @@ def dedup_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with duplicate spans cut out of the texts; other texts and all other columns stay as they are."""
-    resolved = cut(_resolved(docs, window, text_out=True)).dropDuplicates(["doc_id", "tag"]).select(F.col("doc_id").alias("rid"), F.col("tag").alias("rtag"), F.col("kept").alias("rest"))
-    name = own(docs, "own_tag")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    docs, back = carried(docs, ("doc_id", "text"))
+    resolved = cut(_resolved(docs, window, "text")).dropDuplicates(["doc_id", "tag"]).select(F.col("doc_id").alias("rid"), "tag", "kept")
+    schema = T.StructType([*docs.schema.fields, T.StructField("own_tag", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tags = [_tag((t.as_py() or "").encode()) for t in batch.column(batch.schema.get_field_index("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.int64())], schema=batch.schema.append(pa.field(name, pa.int64())))
+        for part, data, off in w.pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_tags(data, off))], schema=part.schema.append(pa.field("own_tag", pa.int64())))
 
-    tagged = docs.mapInArrow(run, schema)
-    out = tagged.join(resolved, (tagged["doc_id"].cast("long") == resolved["rid"]) & (tagged[name] == resolved["rtag"]), "left")
-    return out.select(*[F.coalesce("rest", "text").alias("text") if c == "text" else tagged[c] for c in docs.columns])
+    out = docs.mapInArrow(run, schema).join(resolved, (F.col("doc_id").cast("long") == F.col("rid")) & (F.col("own_tag") == F.col("tag")), "left")
+    return back(out.withColumn("text", F.coalesce("kept", "text")))

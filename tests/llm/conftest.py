@@ -34,7 +34,7 @@ ROWS = [
     (12, "dup line\ndup line\n\nother\ndup line", "en", "a"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
-CLASH = ("kept", "base_failed", "size", "law", "shard", "slot", "domain", "copies", "n_tokens", "quality_stats", "own_tag", "emptied", "_id", "_key")
+CLASH = ("kept", "base_failed", "size", "law", "shard", "slot", "domain", "copies", "n_tokens", "quality_stats", "own_tag", "emptied", "_id", "_key", "rest", "rid", "rtag", "own", "row.x", "text.a")
 
 
 @pytest.fixture(scope="session")
@@ -46,7 +46,7 @@ def edge(spark):
 def clashing(spark, edge):
     from pyspark.sql import functions as F
 
-    return edge.withColumns({c: F.lit("own") for c in CLASH})
+    return edge.withColumns({c: F.lit("own") for c in CLASH} | {"a map": F.create_map(F.lit("k"), F.col("doc_id"))})
 
 
 @pytest.fixture(scope="session")

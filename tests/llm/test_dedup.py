@@ -125,6 +125,70 @@ def test_spans_of_edge_rows(spark, edge, none, clashing):
     assert words({r["doc_id"]: r["text"] for r in out.collect()}[8]) == ["more"]
 
 
+def check_factors(rows, factors, window=50):
+    """Factors are copies of a smaller document's words, in order, without overlap, and cover what brute force removes."""
+    texts, gone = {}, defaultdict(set)
+    for i, t in rows:
+        texts.setdefault(i, []).append(words(t))
+    for doc, start, length, source, place in factors:
+        assert source < doc and length > 0
+        own_, there = (texts[k] for k in (doc, source))
+        assert any(a[start : start + length] == b[place : place + length] and len(a) >= start + length for a in own_ for b in there)
+        assert not gone[doc] & {*range(start, start + length)}
+        gone[doc] |= {*range(start, start + length)}
+    assert {i: n for i, _, n, _ in brute_spans(rows, window) if n} == {i: len(g) for i, g in gone.items()}
+
+
+def test_factors(spark, documents):
+    rows = [(r[0], r[1]) for r in documents.select("doc_id", "text").collect()]
+    got = [tuple(r) for r in s.parse(documents).collect()]
+    check_factors(rows, got)
+    # a factor shorter than a window only stands where another one ends
+    ends = {(d, a + n) for d, a, n, _, _ in got}
+    assert all(n >= 50 or (d, a) in ends for d, a, n, _, _ in got)
+
+
+def test_greedy_parse_against_all_matches():
+    """The longest match that covers a word, word by word."""
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        m = int(rng.integers(0, 9))
+        start, size, source, shift = rng.integers(0, 60, m), rng.integers(1, 20, m), rng.integers(0, 3, m), rng.integers(0, 2, m)
+        found = s.matches(start, size, source, start + shift)
+        covers = lambda i: [x for x in found if x[0] <= i < x[1]]
+        got, at = [], 0
+        while at < 100:
+            if c := covers(at):
+                end = max(x[1] for x in c)
+                got.append((at, end - at))
+                at = end
+            else:
+                at += 1
+        parsed = s.factors(found)
+        assert [p[:2] for p in parsed] == got
+        assert all(any(x[2] == src and x[0] <= a and a + k <= x[1] and x[3] + a - x[0] == place for x in found) for a, k, src, place in parsed)
+        cells = {(int(c), int(d), int(i)) for a, b, c, d in zip(start, size, source, shift, strict=True) for i in range(a, a + b)}
+        assert cells == {(x[2], x[3] - x[0], i) for x in found for i in range(x[0], x[1])}
+
+
+def test_long_copies_are_one_factor(spark):
+    text = [f"v{i}" for i in range(700)]
+    rows = [(1, " ".join(text)), (2, " ".join(["x", "y", *text[100:650], "z"])), (3, " ".join([*text[300:], *text[:200]]))]
+    got = sorted(tuple(r) for r in s.parse(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(2, 2, 550, 1, 100), (3, 0, 400, 1, 300), (3, 400, 200, 1, 0)]
+
+
+def test_hot_passages(spark, monkeypatch):
+    """One passage in most documents, joined through the hot keys' own way."""
+    from plumbline.llm import shared
+
+    monkeypatch.setattr(shared, "HOT", 10**9)
+    passage = [f"s{i}" for i in range(90)]
+    rows = [(d, " ".join([f"a{d}_{i}" for i in range(d % 40)] + passage[: 60 + d % 31] + [f"b{d % 7}_{i}" for i in range(d % 60)])) for d in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, s.dedup_spans(docs).collect()), key=str) == brute_spans(rows)
+
+
 def test_passages_at_all_offsets(spark):
     """Passages of 49 to 53 words shared in different surroundings, and by more than two documents."""
     rows = []
