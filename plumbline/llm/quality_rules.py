@@ -1,21 +1,30 @@
 """Quality rules with risk-controlled cutoffs.
 
 Every text is measured (`measure`); a rule rejects a text whose value lies above
-the rule's cutoff. Cutoffs come from labelled rows: in each stratum and for each
-rule the candidate cutoffs are tested from lax to strict, and one is certified
-as long as the exact binomial test rejects "more than `alpha` of the good texts
-would be lost" at level `delta` / (strata x rules). Fixed-sequence testing within
-a rule and Bonferroni over rules and strata bound the family-wise error by
-`delta`. Among certified cutoffs the one of greatest gain (bad texts caught, less
-`loss` times the good texts lost) is used, the laxest at ties; with none
+the rule's cutoff. Cutoffs come from labelled rows, by exact binomial tests of "more than
+`alpha` of the stratum's good texts would be lost to this rule": in each stratum a rule's
+candidate cutoffs are tested from lax to strict, and one is certified as long as its test and all
+before it reject. Each stratum has an equal part of `delta`, and its rules share that part, step
+down: rules that catch no bad text at any candidate are left out beforehand (this looks at the bad texts
+only, the tests at the good ones only), and a rule whose candidates are all certified
+hands its part on to the others. This graphical procedure bounds by `delta` the
+chance that any certified cutoff, in any stratum, loses more than `alpha`.
+
+Strata with fewer good labels than one test without a single loss needs (`needed`; known from the
+labels' number, before any value is looked at) are pooled: together they are one stratum more,
+tested on its own part of delta, and its guarantee holds for the good texts of the pool, not of each. `report` tells for
+every stratum and rule what was certified and, where nothing was, why.
+
+Among certified cutoffs the one of greatest gain (share of bad texts caught, less
+`loss` times the share of good texts lost) is used, the laxest at ties; with none
 certified, or no gain, the rule is off in that stratum.
 
 Defined results: a null or empty text has no words and fails the base rule; a
-null stratum is a stratum of its own; unlabelled strata get no cutoffs; several
-labels of one id count once, bad if any is bad; repeated rows each count; no
-documents give no rows; a clashing column keeps its values, the added column
-takes a leading underscore. Texts are measured whole, with 64-bit fingerprints
-of words inside one text.
+null stratum is one of its own, apart from ''; strata without any label get no cutoffs; several
+labels of one id count once, bad if any is bad; null ids and labels with null quality
+are no labels; repeated rows each count; very long texts are measured whole; no
+documents give no rows; columns of any name keep their values (`keep`), else are not read. Texts are measured with
+64-bit fingerprints of words inside one text.
 """
 
 from __future__ import annotations
@@ -32,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as w
-from .shared import cut, own, small
+from .shared import carried, cut, small
 
 _LONG = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_upper", "n_letters", "n_digits")
 STATS = T.StructType([T.StructField(c, T.LongType()) for c in _LONG])
@@ -80,15 +89,13 @@ def _stats(data: np.ndarray, off: np.ndarray, texts: list[str | None]) -> pa.Str
 
 
 def measure(docs: DataFrame, text: str = "text", into: str = "quality_stats") -> DataFrame:
-    """docs with a struct of statistics of each whole text; the name is `own(docs, into)`."""
-    name = own(docs, into)
-
+    """docs with a struct of statistics of each whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in w.pieces(batches, text):
             stats = _stats(data, off, part.column(part.schema.get_field_index(text)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, stats], schema=part.schema.append(pa.field(name, _ARROW)))
+            yield pa.RecordBatch.from_arrays([*part.columns, stats], schema=part.schema.append(pa.field(into, _ARROW)))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, STATS)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, STATS)]))
 
 
 @dataclass(frozen=True)
@@ -127,9 +134,9 @@ RULES = (
 
 @dataclass(frozen=True)
 class Policy:
-    """alpha: share of good texts that a rule may lose; delta: chance that any certified cutoff loses more."""
+    """alpha: share of a stratum's good texts that a rule may lose; delta: chance that any certified cutoff loses more."""
 
-    alpha: float = 0.01
+    alpha: float = 0.02
     delta: float = 0.05
     loss: float = 5.0
     min_words: int = 20
@@ -145,53 +152,113 @@ def binomial_cdf(k: np.ndarray, n: int, p: float) -> np.ndarray:
     return np.minimum(np.cumsum(np.exp(logs)), 1.0)[k]
 
 
-def certify(grid: tuple[float, ...], good_lost: np.ndarray, bad_caught: np.ndarray, n_good: int, n_bad: int, alpha: float, level: float, loss: float) -> float | None:
-    """The cutoff to use, or None. good_lost and bad_caught: counts above each cutoff of the grid, from lax to strict."""
-    if not n_good or not n_bad:
-        return None
-    passed = binomial_cdf(good_lost, n_good, alpha) <= level
-    m = len(grid) if passed.all() else int(np.argmin(passed))
-    gain = bad_caught[:m] / n_bad - loss * good_lost[:m] / n_good
-    best = int(np.argmax(gain)) if m else 0
-    return float(grid[best]) if m and gain[best] > 0 else None
+def needed(alpha: float, level: float) -> int:
+    """Good texts without a loss that reject "more than alpha are lost" at a level."""
+    return math.ceil(math.log(level) / math.log1p(-alpha))
+
+
+def certified(p: list[np.ndarray], useful: list[bool], level: float) -> list[int]:
+    """How many cutoffs of each rule are certified. p: the tests' p-values, from lax to strict, of each rule; useful: whether it takes part.
+
+    Each chain starts with an equal part of the level; one certified to its end hands its part on."""
+    out, active = [0] * len(p), [j for j, u in enumerate(useful) if u]
+    share = level / max(1, len(active))
+    while active:
+        for j in active:
+            passed = p[j] <= share
+            out[j] = len(passed) if passed.all() else int(np.argmin(passed))
+        ended = [j for j in active if out[j] == len(p[j])]
+        if not ended or len(ended) == len(active):
+            break
+        whole = share * len(active)
+        active = [j for j in active if j not in ended]
+        share = whole / len(active)
+    return out
+
+
+_REPORT = "struct<rule:string,n_good:long,n_bad:long,needed:long,certified:int,cutoff:double,lost:long,caught:long,reason:string>"
+_ALL = "(pool)"
+
+
+def _key(stratum: str) -> Column:
+    """A name for a stratum; null has its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{stratum}`").cast("string")), F.lit("null"))
+
+
+def _decide(rules: tuple[Rule, ...], policy: Policy, side: list[tuple[np.ndarray, np.ndarray]], level: float) -> list[dict]:
+    """What is certified and used of each rule, from the counts (good, bad) by bin."""
+    above, p = [], []
+    for r, (good, bad) in zip(rules, side, strict=True):
+        n = len(r.grid)
+        # a value in bin b exceeds the b strictest cutoffs, those at n - b and after
+        lost, caught = (np.cumsum(x[::-1])[:n].astype(np.int64) for x in (good, bad))
+        above.append((lost, caught))
+        p.append(binomial_cdf(lost, int(good.sum()), policy.alpha) if good.sum() else np.ones(n))
+    m = certified(p, [bool(len(c) and c[-1]) for _, c in above], level)
+    share = level / max(1, sum(bool(len(c) and c[-1]) for _, c in above))
+    out = []
+    for r, (good, bad), (lost, caught), k in zip(rules, side, above, m, strict=True):
+        n_good, n_bad = int(good.sum()), int(bad.sum())
+        row = {"rule": r.name, "n_good": n_good, "n_bad": n_bad, "needed": needed(policy.alpha, share), "certified": k, "cutoff": None, "lost": None, "caught": None}
+        gain = caught[:k] / max(1, n_bad) - policy.loss * lost[:k] / max(1, n_good)
+        best = int(np.argmax(gain)) if k else 0
+        if k and gain[best] > 0:
+            row |= {"cutoff": float(r.grid[best]), "lost": int(lost[best]), "caught": int(caught[best]), "reason": "used"}
+        else:
+            row["reason"] = "no bad text above any candidate" if not len(caught) or not caught[-1] else "too few good labels" if n_good < row["needed"] else "the laxest candidate loses too many" if not k else "no gain among the certified"
+        out.append(row)
+    return out
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, policy: Policy, stratum: str = "lang", stats: str = "quality_stats", doc_id: str = "doc_id") -> DataFrame:
-    """(stratum, cutoffs array in the order of the rules, null where a rule is off), from every labelled row.
+    """(stratum, pooled, cutoffs array in the order of the rules, null where a rule is off, report), from every labelled row. stratum: as `_key` names it.
 
     Only counts per stratum, rule and candidate leave the executors' partial
     aggregates: the groups that are tested are as large as the grids."""
     rules = policy.rules
     bins = F.array(*[F.struct(F.lit(j).alias("rule"), r.exceeded(stats).alias("bin")) for j, r in enumerate(rules)])
     bad = labels.where(F.col(doc_id).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max((F.col("quality") != 1).cast("int")).alias("_bad"))
-    held = measured.join(bad, measured[doc_id] == bad["_id"]).select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "_bad", F.explode(bins).alias("b"))
-    counts = cut(held.groupBy("stratum", "b.rule", "b.bin", "_bad").count())
-    level = policy.delta / max(1, counts.select("stratum").distinct().count() * len(rules))
+    held = measured.join(bad, measured[doc_id] == bad["_id"]).select(_key(stratum).alias("stratum"), "_bad", F.explode(bins).alias("b"))
+    counts = cut(held.groupBy("stratum", F.col("b.rule").alias("rule"), F.col("b.bin").alias("bin"), "_bad").count())
+    sizes = counts.where("rule = 0").groupBy("stratum").agg(F.coalesce(F.sum(F.when(F.col("_bad") == 0, F.col("count"))), F.lit(0)).alias("good"))
+    strata = max(1, sizes.count())
+    enough = needed(policy.alpha, policy.delta / (strata * len(rules)))
+    sizes = cut(sizes.select(F.col("stratum").alias("of"), (F.col("good") < enough).alias("pooled")))
+    large = sizes.where("not pooled").count()
+    level = policy.delta / max(1, large + (large < strata))
+    grouped = counts.join(small(sizes), F.col("stratum") == F.col("of")).withColumn("stratum", F.when(F.col("pooled"), _ALL).otherwise(F.col("stratum")))
+    grouped = grouped.groupBy("stratum", "rule", "bin", "_bad").agg(F.sum("count").alias("count"))
 
     def per_stratum(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[float | None] = []
+        side = []
         for j, r in enumerate(rules):
-            of, n = pdf[pdf["rule"] == j], len(r.grid)
-            side = [np.bincount(x["bin"], weights=x["count"], minlength=n + 1) for x in (of[of["_bad"] == 0], of[of["_bad"] == 1])]
-            # a value in bin b exceeds the b strictest cutoffs, those at n - b and after
-            above = [np.cumsum(x[::-1])[:n].astype(np.int64) for x in side]
-            out.append(certify(r.grid, above[0], above[1], int(side[0].sum()), int(side[1].sum()), policy.alpha, level, policy.loss))
-        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "cutoffs": [out]})
+            of = pdf[pdf["rule"] == j]
+            side.append(tuple(np.bincount(x["bin"], weights=x["count"], minlength=len(r.grid) + 1) for x in (of[of["_bad"] == 0], of[of["_bad"] == 1])))
+        found = _decide(rules, policy, side, level)
+        return pd.DataFrame({"tested": [pdf["stratum"].iloc[0]], "cutoffs": [[f["cutoff"] for f in found]], "report": [found]})
+
+    tested = grouped.groupBy("stratum").applyInPandas(per_stratum, f"tested string, cutoffs array<double>, report array<{_REPORT}>")
+    by = F.when(F.col("pooled"), _ALL).otherwise(F.col("of"))
+    return sizes.join(tested, by == F.col("tested")).select(F.col("of").alias("stratum"), "pooled", "cutoffs", "report")
 
-    return counts.groupBy("stratum").applyInPandas(per_stratum, "stratum string, cutoffs array<double>")
+
+def report(docs: DataFrame, labels: DataFrame, policy: Policy | None = None, stratum: str = "lang") -> DataFrame:
+    """A row for every labelled stratum (named =value or null) and rule: labels, labels that a lossless test needs, number of certified cutoffs, the cutoff used and its counts, or the reason why there is none. Pooled strata show the pool's rows."""
+    policy = policy or Policy()
+    measured = cut(measure(docs.select("doc_id", stratum, "text")).drop("text"))
+    return cutoffs(measured, labels, policy, stratum).select("stratum", "pooled", F.explode("report").alias("r")).select("stratum", "pooled", "r.*")
 
 
 def judge(measured: DataFrame, limits: DataFrame, policy: Policy, stratum: str = "lang", stats: str = "quality_stats") -> DataFrame:
-    """measured with booleans base_failed and kept, under names of their own if those are taken."""
-    s, names = F.col(f"{stats}.n_words"), ("base_failed", "kept")
+    """measured with booleans base_failed, kept and pooled (null in strata without a label)."""
+    s = F.col(f"{stats}.n_words")
     failed = (s < policy.min_words) | (100 * F.col(f"{stats}.n_repeat_words") > policy.repeat_percent * s)
-    key = own(measured, "_stratum")
-    limits = cut(limits.select(F.col("stratum").alias(key), F.col("cutoffs").alias(f"{key}_cutoffs")))
+    limits = cut(limits.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"), "pooled"))
     broken = F.lit(False)
     for j, r in enumerate(policy.rules):
-        broken = broken | F.coalesce(r.value(stats) > F.col(f"{key}_cutoffs")[j], F.lit(False))
-    joined = measured.join(small(limits), F.coalesce(measured[stratum], F.lit("")) == limits[key], "left")
-    return joined.withColumns({own(measured, names[0]): failed, own(measured, names[1]): ~failed & ~F.coalesce(broken, F.lit(False))}).drop(key, f"{key}_cutoffs")
+        broken = broken | F.coalesce(r.value(stats) > F.col("_cutoffs")[j], F.lit(False))
+    joined = measured.withColumn("_key", _key(stratum)).join(small(limits), F.col("_key") == F.col("_stratum"), "left")
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(broken, F.lit(False))}).drop("_key", "_stratum", "_cutoffs")
 
 
 def assess(docs: DataFrame, labels: DataFrame, policy: Policy | None = None, stratum: str = "lang") -> DataFrame:
@@ -204,8 +271,7 @@ def assess(docs: DataFrame, labels: DataFrame, policy: Policy | None = None, str
 def keep(docs: DataFrame, labels: DataFrame, policy: Policy | None = None, stratum: str = "lang") -> DataFrame:
     """The rows of docs that pass, with the columns of docs. Texts are measured twice, never shuffled."""
     policy = policy or Policy()
+    docs, back = carried(docs, ("doc_id", "text", stratum))
     measured = cut(measure(docs.select("doc_id", stratum, "text")).drop("text"))
-    limits = cutoffs(measured, labels, policy, stratum)
-    name = own(docs, "quality_stats")
-    judged = judge(measure(docs), limits, policy, stratum, name)
-    return judged.where(F.col(own(docs, "kept"))).select(*[judged[c] for c in docs.columns])
+    judged = judge(measure(docs), cutoffs(measured, labels, policy, stratum), policy, stratum)
+    return back(judged.where("kept"))

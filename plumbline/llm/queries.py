@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     s = "quality_stats"
-    return out.select("doc_id", *[F.col(f"{s}.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", F.col("lang").alias("stratum"))
+    return out.select("doc_id", *[F.col(f"{s}.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", F.col("lang").alias("stratum"), "pooled")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,13 +42,99 @@ def test_binomial_against_sums():
         assert np.allclose(got, want)
 
 
-def test_certified_cutoffs_lose_few_good_texts():
-    grid = (0.9, 0.5, 0.1)
-    assert q.certify(grid, np.array([0, 0, 60]), np.array([1, 40, 90]), 2000, 100, 0.01, 0.001, 5.0) == 0.5
-    assert q.certify(grid, np.array([0, 0, 0]), np.array([1, 4, 9]), 30, 10, 0.01, 0.001, 5.0) is None
-    assert q.certify(grid, np.array([0, 0, 0]), np.array([0, 0, 0]), 3000, 10, 0.01, 0.001, 5.0) is None
+def brute_cutoffs(rows, labels, policy):
+    """Cutoffs and verdicts in plain Python, with sums of binomial terms. rows: (id, text, lang)."""
+    tail = lambda k, n: sum(math.comb(n, i) * policy.alpha**i * (1 - policy.alpha) ** (n - i) for i in range(k + 1))
+    value = {}
+    for i, text, _ in rows:
+        ws, t = words(text), text or ""
+        n_words, chars, symbols, dup, again = brute(text)
+        lines = [x for x in t.split("\n") if words(x)]
+        upper, letters = sum("A" <= c <= "Z" for c in t), sum("A" <= c <= "Z" or "a" <= c <= "z" for c in t)
+        share = lambda a, b: a / max(b, 1)
+        value[i] = {"symbol_share": share(symbols, chars), "bang_share": share(t.count("!"), len(ws)), "upper_share": share(upper, letters), "dup_line_share": share(dup, len(lines)), "repeat_share": share(again, n_words), "digit_share": share(sum(c in "0123456789" for c in t), chars), "word_length": share(chars, n_words)}
+    bad = {}
+    for i, quality in labels:
+        if i is not None and quality is not None:
+            bad[i] = bad.get(i, False) or quality != 1
+    lang = {i: g for i, _, g in rows}
+    held = [i for i, _, _ in rows if i in bad]
+    strata = {lang[i] for i in held}
+    enough = math.log(policy.delta / (len(strata) * len(policy.rules))) / math.log(1 - policy.alpha)
+    pool = {g for g in strata if sum(lang[i] == g and not bad[i] for i in held) < enough}
+    groups = [{g} for g in strata - pool] + ([pool] if pool else [])
+    limits = {}
+    for group in groups:
+        good_ids, bad_ids = ([i for i in held if lang[i] in group and bad[i] is b] for b in (False, True))
+        chains = {}
+        for r in policy.rules:
+            lost, caught = ([sum(value[i][r.name] > c for i in ids) for c in r.grid] for ids in (good_ids, bad_ids))
+            if caught[-1]:
+                chains[r.name] = (r.grid, lost, caught)
+        weight, done = {k: policy.delta / len(groups) / len(chains) for k in chains}, {}
+        while True:
+            done = {k: next((j for j, x in enumerate(chains[k][1]) if not good_ids or tail(x, len(good_ids)) > weight[k]), len(chains[k][0])) for k in weight}
+            ended, open_ = ([k for k in weight if (done[k] == len(chains[k][0])) is e] for e in (True, False))
+            passing = [k for k in ended if weight[k] < 1]
+            if not passing or not open_:
+                break
+            free = sum(weight[k] for k in passing)
+            for k in passing:
+                weight[k] = 1.0  # stays certified
+            for k in open_:
+                weight[k] += free / len(open_)
+        use = {}
+        for k, m in done.items():
+            grid, lost, caught = chains[k]
+            gains = [caught[j] / len(bad_ids) - policy.loss * lost[j] / len(good_ids) for j in range(m)]
+            if gains and max(gains) > 0:
+                use[k] = grid[gains.index(max(gains))]
+        limits |= {g: use for g in group}
+    base = {i: brute(t) for i, t, _ in rows}
+    failed = {i: n[0] < 20 or 100 * n[4] > 30 * n[0] for i, n in base.items()}
+    return limits, {i: not failed[i] and not any(value[i][k] > c for k, c in limits.get(lang[i], {}).items()) for i, _, _ in rows}
+
+
+def test_cutoffs_and_verdicts_against_brute_force(spark):
+    """Production parameters, all of sf0.01: four languages, each too small for a test of its own."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows, told = [tuple(r) for r in docs.collect()], [(r["doc_id"], r["quality"]) for r in labels.collect()]
+    limits, kept = brute_cutoffs(rows, told, q.Policy())
+    got = q.assess(docs, labels).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == kept
+    # the certified cutoffs reject what the base rule lets pass
+    assert any(not r["kept"] and not r["base_failed"] for r in got)
+    found = {(r["stratum"][1:], r["rule"]): r["cutoff"] for r in q.report(docs, labels).collect()}
+    assert {k: v for k, v in found.items() if v is not None} == {(g, k): c for g, use in limits.items() for k, c in use.items()}
+
+
+def test_strata_of_their_own_and_pooled(spark):
+    """One large stratum, two small ones and null, with cutoffs that differ."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(1100):
+        lang = ["en", "en", "en", "en", "de", "", None][int(rng.integers(0, 7))]
+        bad = bool(rng.random() < 0.2)
+        mark = int(rng.integers(20, 40)) if bad else int(rng.integers(0, 3 if lang == "en" else 2))
+        rows.append((i, " ".join(f"w{i}x{j}" + ("#$" if j < mark else "") for j in range(40)), lang))
+        labels.append((i, int(not bad)))
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    policy = q.Policy(alpha=0.03, delta=0.2)
+    limits, kept = brute_cutoffs(rows, labels, policy)
+    assert limits["de"] == limits[None] == limits[""] != limits["en"] and limits["en"]
+    got = q.assess(docs, told, policy).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == kept
+    assert {(r["lang"], r["pooled"]) for r in got} == {("en", False), ("de", True), ("", True), (None, True)}
+
+
+def test_step_down():
+    p = [np.array([0.001, 0.02]), np.array([0.001, 0.001]), np.array([0.0, 0.3])]
+    assert q.certified(p, [True] * 3, 0.03) == [1, 2, 1]
+    assert q.certified(p, [True] * 3, 0.04) == [2, 2, 1]  # the second hands its part on
+    assert q.certified(p, [True, False, True], 0.04) == [2, 0, 1]
     # a cutoff behind one that fails is never certified
-    assert q.certify(grid, np.array([0, 90, 0]), np.array([3, 50, 90]), 2000, 100, 0.01, 0.001, 5.0) == 0.9
+    assert q.certified([np.array([0.0, 0.9, 0.0])], [True], 0.05) == [1]
 
 
 def test_rejects_what_labels_call_bad(spark):
