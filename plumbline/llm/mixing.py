@@ -50,6 +50,13 @@ def domain_of(source: Column) -> Column:
     return F.concat(F.lit("d"), (F.conv(F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % 4).cast("string"))
 
 
+def _tokens(text: Column) -> Column:
+    """Runs of `[^\\x20\\x09-\\x0D]+`: what the runs between them part, without the empty strings at the ends."""
+    parts = F.split(text, r"[\x20\x09-\x0D]+", -1)
+    ends = (F.element_at(parts, 1) == "").cast("int") + (F.element_at(parts, -1) == "").cast("int")
+    return F.coalesce(F.greatest(F.size(parts) - ends, F.lit(0)), F.lit(0)).cast("long")
+
+
 def _weight(name: str, of: dict[str, int]) -> Column:
     out = F.lit(1)
     for k, v in sorted(of.items()):
@@ -97,7 +104,7 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None, domain: Column | None =
     names, p = {c: c for c in added}, "_mix"
     given = F.col(docs.columns[-1]) if domain is not None else None
     keyed = docs.withColumns({
-        names["n_tokens"]: F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
+        names["n_tokens"]: _tokens(F.col("text")),
         f"{p}d": given if given is not None else domain_of(F.col("source")), f"{p}l": F.coalesce("lang", F.lit("")), f"{p}s": F.coalesce("source", F.lit("")),
     })
     tie = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))

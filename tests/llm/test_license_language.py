@@ -22,7 +22,8 @@ def brute(text, compiled):
         starts += at
         if at:
             base.add(label)
-    found = [(x.start(), -x.end(), -r.priority, r.confidence, r.label) for r, c in compiled if r.keyword in norm for x in c.finditer(norm)]
+    label = lambda r, x: f"{r.label}-{v[1].replace('  ', '.')}" if r.versioned and (v := re.search(r"  v?([0-9]+(?:  [0-9]+)*) $", x[0])) else r.label
+    found = [(x.start(), -x.end(), -r.priority, r.confidence, label(r, x)) for r, c in compiled for x in c.finditer(norm)]
     left = [d for d in found if not any(e < d and e[0] <= d[0] and e[1] <= d[1] and e[2] <= d[2] for e in found)]
     labels = base | {d[4] for d in left}
     score = max([d[3] for d in left] + ([85] if base else [0])) / 100
@@ -30,9 +31,9 @@ def brute(text, compiled):
 
 
 def test_scan(spark, documents, edge, none):
-    assert len(m.RULES) > 300 and len(set(m.RULES)) == len(m.RULES)
+    assert len(m.RULES) > 300 and len({r.pattern for r in m.RULES}) == len(m.RULES)
     odd = spark.createDataFrame(list(enumerate(ODD, 50_000)), "doc_id long, text string")
-    docs = documents.select("doc_id", "text").union(odd).union(edge.where("doc_id not in (7, 8)").select(F.col("doc_id") + 60_000, "text"))
+    docs = documents.select("doc_id", "text").union(odd).union(edge.select(F.col("doc_id") + 60_000, "text"))
     compiled = [(r, re.compile(r.pattern)) for r in m.RULES]
     texts = {r[0]: r[1] for r in docs.collect()}
     got = m.scan(docs).collect()
@@ -42,6 +43,45 @@ def test_scan(spark, documents, edge, none):
     assert m.scan(none).count() == 0
 
 
+def test_every_match_holds_a_keyword():
+    """Rules are only run where a keyword is among the words: texts made from the expressions must hold one."""
+    import random
+
+    rnd = random.Random(2)
+    for r in m.RULES:
+        for _ in range(30):
+            text = sample(r.pattern, rnd)
+            assert re.fullmatch(r.pattern, text) and {*r.keyword.split("|")} & {*text.split()}, (r, text)
+
+
+def sample(pattern, rnd):
+    """A text that an expression of groups, alternatives, `?`, classes and counts matches."""
+    from re import _parser
+
+    def make(parsed):
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "BRANCH":
+                out += make(rnd.choice(arg[1]))
+            elif name == "SUBPATTERN":
+                out += make(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 2))):
+                    out += make(arg[2])
+            elif name == "IN":
+                out += next((chr(v if str(kind) == "LITERAL" else v[0]) for kind, v in arg))
+            elif name == "NOT_LITERAL":
+                out += "y"
+            else:
+                raise AssertionError(name)
+        return out
+
+    return make(_parser.parse(pattern))
+
+
 def test_language(spark, documents, edge, none):
     got = li.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").collect()
     assert len(got) == documents.count()
