@@ -8,15 +8,20 @@ tree whose level-wise ranks drive backward search of all benchmark windows at
 once; occurrences are located by walking to sampled suffix positions and merged
 into removal spans.
 
-The benchmark is searched in blocks of at most `BLOCK_BYTES` of text (single
-longer items stand alone), so what is sent to the executors is bounded; more
-blocks are more passes over the same shard in the same task, never a shuffle.
+The benchmark is searched in blocks of about `BLOCK_BYTES` of text (single
+longer items stand alone), one after the other: a block is read, sent to the executors,
+searched by a job of its own that leaves only the spans and items of texts with hits in a
+checkpoint, and taken back before the next one is read. What is on the driver or in a
+broadcast at once is one block. A benchmark of one block needs no checkpoint. A
+shard's index holds the runs of the block's words only, so it is small and is built for
+each block.
 
 Defined results: words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing
 A-Z; a window is 10 consecutive words of an item, or all words of a shorter one; null and
-empty texts have no words; items without words or with null id are never found;
+empty texts have no words; texts are searched whole, however long; items without words or with null id are never found;
 rows of one item_id are one item; repeated documents each get a row; empty tables
-give no hits or no rows. Words are compared by 64-bit fingerprints.
+give no hits or no rows; columns of any name are carried by `clean`, else not read. Words are compared by 64-bit fingerprints, texts of rows that
+wait for further blocks by SHA-256.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as w
-from .shared import own, utf8_size
+from .shared import carried, cut, small, utf8_size
 
 WINDOW = 10
 #: Benchmark text sent to the executors at once.
@@ -207,40 +212,78 @@ def find(words: w.Words, hashes: np.ndarray, phrases: Phrases) -> tuple[np.ndarr
 def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Phrases]:
     """The benchmark's phrases, one bounded block of items at a time."""
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    total = rows.agg(F.sum(utf8_size(F.col("text")))).head()[0] or 0
-    n = max(1, -(-total * 5 // (4 * block_bytes))) if total > block_bytes else 1
+    n = n_blocks(benchmark, block_bytes)
     for i in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
         yield Phrases.of(sorted((str(r[0]), r[1]) for r in part.collect()), window)
 
 
-def _scan(texts, loaded: list) -> tuple[w.Words, np.ndarray, list[set[str]]]:
-    words = w.Words(*texts, w.alnum(), fold=True)
-    h = words.hashes()
-    hit, items = np.zeros(len(h), bool), [set() for _ in range(len(words.first) - 1)]
-    for one in loaded:
-        got, names = find(words, h, one.value)
-        hit |= got
-        for a, b in zip(items, names, strict=True):
-            a |= b
-    return words, hit, items
+def n_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    total = benchmark.agg(F.sum(F.when(F.col("item_id").isNotNull(), utf8_size(F.col("text"))))).head()[0] or 0
+    return max(1, -(-total * 5 // (4 * block_bytes))) if total > block_bytes else 1
+
+
+def _scan(data: np.ndarray, off: np.ndarray, phrases: Phrases) -> tuple[w.Words, np.ndarray, list[set[str]]]:
+    words = w.Words(data, off, w.alnum(), fold=True)
+    return words, *find(words, words.hashes(), phrases)
+
+
+_SPAN = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(id, digest, spans, items) of the texts with hits, block by block: runs of hit words (first, end), which may overlap, and the items."""
+    spark, picked, out = docs.sparkSession, docs.select("doc_id", "text"), None
+    for phrases in blocks(benchmark, window, block_bytes):
+        held = spark.sparkContext.broadcast(phrases)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for part, data, off in w.pieces(batches, "text"):
+                words, hit, items = _scan(data, off, held.value)
+                dirty = np.flatnonzero(w.per_row(hit, words.first)).tolist()
+                digest = [hashlib.sha256(data[off[i] : off[i + 1]].tobytes()).digest() for i in dirty]
+                runs = [[{"a": a, "b": b} for a, b in spans(hit[words.first[i] : words.first[i + 1]])] for i in dirty]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(dirty, pa.int64())), pa.array(digest, pa.binary()), pa.array(runs, pa.list_(_SPAN)), pa.array([sorted(items[i]) for i in dirty], pa.list_(pa.string()))], names=["id", "digest", "spans", "items"])
+
+        one = cut(picked.mapInArrow(run, f"id {dict(picked.dtypes)['doc_id']}, digest binary, spans array<struct<a:long,b:long>>, items array<string>"))
+        held.destroy()
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
+def _digest(text: str = "text"):
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    spark = docs.sparkSession
-    loaded = [spark.sparkContext.broadcast(p) for p in blocks(benchmark, window, block_bytes)]
     picked = docs.select("doc_id", "text")
+    if n_blocks(benchmark, block_bytes) > 1:
+        return _report_of(picked, _found(docs, benchmark, window, block_bytes))
+    held = docs.sparkSession.sparkContext.broadcast(next(blocks(benchmark, window, block_bytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in w.pieces(batches, "text"):
-            words, hit, items = _scan((data, off), loaded)
+            words, hit, items = _scan(data, off, held.value)
             n_hit = w.per_row(hit, words.first)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.counts(), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()), pa.array(n_hit > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return picked.mapInArrow(run, f"doc_id {dict(picked.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+def _report_of(picked: DataFrame, found: DataFrame) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in w.pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w.Words(data, off, w.alnum()).counts(), pa.int64()), part.column(2)], names=["doc_id", "n_words", "own"])
+
+    whole = picked.withColumn("own", _digest()).mapInArrow(count, f"doc_id {dict(picked.dtypes)['doc_id']}, n_words long, own binary")
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    merged = F.aggregate("spans", zero, lambda acc, s: F.struct((acc["n"] + F.greatest(s["b"] - F.greatest(s["a"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], s["b"]).alias("end")), lambda acc: acc["n"])
+    out = whole.join(found.withColumn("n", merged), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")), "left")
+    n_hit, items = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def spans(hit: np.ndarray) -> list[tuple[int, int]]:
     """Runs of hit words, merged."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
@@ -257,31 +300,64 @@ def _cut(text: bytes, words: w.Words, hit: np.ndarray) -> bytes:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with every removal span cut out of the text, again until none is left; texts without a word left over are dropped, others keep all else. n_chars, where present, follows the new text."""
-    spark = docs.sparkSession
-    loaded = [spark.sparkContext.broadcast(p) for p in blocks(benchmark, window, block_bytes)]
-    gone = own(docs, "emptied")
-    schema = T.StructType([*docs.schema.fields, T.StructField(gone, T.BooleanType())])
+    chars = dict(docs.dtypes).get("n_chars")
+    docs, back = carried(docs, ("doc_id", "text", *(["n_chars"] if chars else [])))
+    if n_blocks(benchmark, block_bytes) > 1:
+        out = _clean_of(docs, benchmark, window, block_bytes)
+    else:
+        held = docs.sparkSession.sparkContext.broadcast(next(blocks(benchmark, window, block_bytes)))
+        schema = T.StructType([*docs.schema.fields, T.StructField("emptied", T.BooleanType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, data, off in w.pieces(batches, "text"):
+                words, hit, _ = _scan(data, off, held.value)
+                texts = {}
+                for i in np.flatnonzero(w.per_row(hit, words.first)).tolist():
+                    raw, own_hit = data[off[i] : off[i + 1]].tobytes(), np.ones(1, bool)
+                    while own_hit.any():
+                        own_words, own_hit, _ = _scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), held.value)
+                        raw = _cut(raw, own_words, own_hit) if own_hit.any() else raw
+                    texts[i] = raw.decode(), not len(own_words.start)
+                yield _with_texts(part, texts)
+
+        out = docs.mapInArrow(run, schema).where("not emptied")
+    return back(out.withColumn("n_chars", F.length("text").cast(chars)) if chars else out)
+
+
+def _with_texts(part: pa.RecordBatch, texts: dict[int, tuple[str, bool]]) -> pa.RecordBatch:
+    """part with some texts replaced, and a column `emptied`."""
+    place = part.schema.get_field_index("text")
+    column, emptied = part.column(place), np.zeros(len(part), bool)
+    if texts:
+        of = column.to_pylist()
+        for i, (text, empty) in texts.items():
+            of[i], emptied[i] = text, empty
+        column = pa.array(of, column.type)
+    columns = [column if i == place else c for i, c in enumerate(part.columns)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(emptied)], schema=part.schema.append(pa.field("emptied", pa.bool_())))
+
+
+def _clean_of(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """As clean, for a benchmark of several blocks: rounds of finding in all blocks and cutting, until nothing is found."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))), T.StructField("emptied", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in w.pieces(batches, "text"):
-            place = part.schema.get_field_index("text")
-            words, hit, _ = _scan((data, off), loaded)
-            dirty = np.flatnonzero(w.per_row(hit, words.first))
-            emptied = np.zeros(len(part), bool)
-            column = part.column(place)
-            if len(dirty):
-                texts = column.to_pylist()
-                for i in dirty.tolist():
-                    raw = texts[i].encode()
-                    while True:
-                        own_words, own_hit, _ = _scan((np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), loaded)
-                        if not own_hit.any():
-                            break
-                        raw = _cut(raw, own_words, own_hit)
-                    texts[i], emptied[i] = raw.decode(), not len(own_words.start)
-                column = pa.array(texts, column.type)
-            columns = [column if i == place else c for i, c in enumerate(part.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(emptied)], schema=part.schema.append(pa.field(gone, pa.bool_())))
-
-    out = docs.mapInArrow(run, schema).where(~F.col(gone)).drop(gone)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+            texts, runs = {}, part.column(part.schema.get_field_index("spans"))
+            for i, found in enumerate(runs.to_pylist()):
+                if found:
+                    raw = data[off[i] : off[i + 1]].tobytes()
+                    words = w.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), w.alnum(), fold=True)
+                    hit = np.zeros(len(words.start), bool)
+                    for x in found:
+                        hit[x["a"] : x["b"]] = True
+                    texts[i] = _cut(raw, words, hit).decode(), bool(hit.all())
+            yield _with_texts(part, texts)
+
+    while True:
+        found = cut(_found(docs, benchmark, window, block_bytes))
+        if not found.head(1):
+            return docs
+        met = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest"))
+        joined = docs.withColumn("own", _digest()).join(small(found.drop("items")), met, "left").select(*docs.columns, "spans")
+        docs = cut(joined.mapInArrow(run, schema).where("not emptied").drop("spans", "emptied"))
