@@ -6,15 +6,17 @@ the SHA-256 of its file and library version. Counts that the cache holds for bot
 joined; each distinct text it lacks is encoded once and appended as Parquet, so
 that runs which meet the text again only read its count.
 
-Texts of misses are dealt by the id of one owner of each digest, so copies
-neither meet in one task nor get encoded again. Appending uses Spark's committed
-writes: a lost executor's task is done again, and a count that two runs append
-is read once.
+Digests are joined before any text moves. Each digest that is missing has one owner,
+the row of least id that holds it. Few owners (`BROADCAST_ROWS`) are sent to where the texts
+are; only where there are more, all texts are dealt by id to meet them, so copies
+neither meet in one task nor get encoded again; without a miss no text is read twice. Appending uses Spark's committed
+writes: a lost executor's task is done again, and a count that two runs (or two tasks with rows
+of one id and text) append is read once.
 
 Defined results: null text has no bytes and no tokens; repeated rows and ids each
-get their row; no documents give no rows; special strings inside texts count as
+get their row; very long texts are encoded whole; no documents give no rows; special strings inside texts count as
 the library counts them by default (one token in the .json vocabularies); extra
-columns are not read.
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import json
+import os
 from collections.abc import Iterator
 from importlib.metadata import version
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import scratch, utf8_size
+from .shared import BROADCAST_ROWS, cut, scratch, utf8_size
 
 CACHE = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
@@ -45,28 +47,13 @@ def tokenizer_digest(name: str) -> str:
         return hashlib.sha256(f.read() + f"{library} {version(library)}".encode()).hexdigest()
 
 
-def _ranked(name: str):
-    """The byte-level vocabulary of a .json file as an encoder of the rank library, which gives the same ids several times faster; None where the file is of another kind."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(public_tokenizers.path(name), encoding="utf-8") as f:
-        d = json.load(f)
-    pre, model = d.get("pre_tokenizer") or {}, d["model"]
-    if model["type"] != "BPE" or d.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("dropout"):
-        return None
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] and not x["special"] for x in d["added_tokens"]):
-        return None
-    special = {x["content"]: x["id"] for x in d["added_tokens"]}
-    ranks = {bytes(to_byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+#: Characters of texts that are encoded at once; a longer text is encoded alone.
+BATCH = 1 << 18
 
 
 @functools.cache
 def counter(name: str):
-    """A function from a text to its number of tokens, without begin, end or added tokens."""
+    """A function from a list of texts to their numbers of tokens, without begin, end or added tokens, by the library of the file's kind."""
     import public_tokenizers
 
     kind = name.rpartition(".")[2]
@@ -74,20 +61,33 @@ def counter(name: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-        return lambda s: len(model.encode(s))
+        return lambda texts: [len(model.encode(s)) for s in texts]
     if kind == "tiktoken":
         import tiktoken
 
         with open(public_tokenizers.path(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda s: len(plain.encode_ordinary(s))
-    if fast := _ranked(name):
-        return lambda s: len(fast.encode(s, allowed_special="all"))
+        return lambda texts: [len(plain.encode_ordinary(s)) for s in texts]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path(name))
-    return lambda s: len(slow.encode(s, add_special_tokens=False).ids)
+    model = Tokenizer.from_file(public_tokenizers.path(name))
+    model.no_truncation()
+    model.no_padding()
+    return lambda texts: [len(e.ids) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _counts(count, texts: list[str]) -> list[int]:
+    """The counts of some texts, in batches of bounded size."""
+    out, held, size = [], [], 0
+    for s in texts:
+        if held and size + len(s) > BATCH:
+            out += count(held)
+            held, size = [], 0
+        held.append(s)
+        size += len(s)
+    return out + (count(held) if held else [])
 
 
 def _digest(text: str = "text"):
@@ -108,17 +108,22 @@ def fill(docs: DataFrame, tokenizer: str, cache: str) -> None:
     spark, version_ = docs.sparkSession, tokenizer_digest(tokenizer)
     keyed = docs.select(F.col("doc_id").alias("doc_id"), _digest().alias("content"), "text")
     known = read_cache(spark, cache).where(F.col("tokenizer") == version_).select("content")
-    owners = keyed.groupBy("content").agg(F.min("doc_id").alias("owner")).join(known, "content", "left_anti")
-    misses = keyed.alias("d").join(owners.hint("shuffle_hash").alias("o"), (F.col("d.doc_id").eqNullSafe(F.col("o.owner"))) & (F.col("d.content") == F.col("o.content"))).select("d.content", "d.text")
+    owners = cut(keyed.groupBy("content").agg(F.min("doc_id").alias("owner")).join(known, "content", "left_anti"))
+    n = owners.count()
+    if not n:
+        return
+    owners = F.broadcast(owners) if n <= BROADCAST_ROWS else owners.hint("shuffle_hash")
+    misses = keyed.alias("d").join(owners.alias("o"), (F.col("d.doc_id").eqNullSafe(F.col("o.owner"))) & (F.col("d.content") == F.col("o.content"))).select("d.content", "d.text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        count, seen = counter(tokenizer), set()
         for batch in batches:
-            seen: dict[bytes, int] = {}
+            new: dict[bytes, str] = {}
             for content, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if content not in seen:
-                    seen[content] = count(text.as_py() or "")
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([version_] * len(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["content", "tokenizer", "n_tokens"])
+                    seen.add(content)
+                    new[content] = text.as_py() or ""
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([version_] * len(new), pa.string()), pa.array(_counts(count, list(new.values())), pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
 

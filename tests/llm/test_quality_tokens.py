@@ -160,7 +160,7 @@ def test_counts_are_the_librarys(spark, edge, documents, tmp_path):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     odd = ["<|endoftext|>", "a<|endoftext|>b <|endoftext|> <|ENDOFTEXT|>", "it's  we'LL\r\n\n x\t\t", "İK ½² ́e‍", "\x00\x7f\x85", "你好 мир　x", "'s't'RE", "   ", "\n \n"]
     extra = spark.createDataFrame([(10_000 + i, s) for i, s in enumerate(odd)], "doc_id long, text string")
-    docs = documents.select("doc_id", "text").union(edge.select("doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 20_000)).union(extra)
+    docs = documents.select("doc_id", "text").union(edge.select(F.coalesce(F.col("doc_id") + 20_000, F.lit(30_000)).alias("doc_id"), "text")).union(extra)
     texts = {r[0]: r[1] for r in docs.collect()}
     cache = f"file://{tmp_path}/cache"
     for _ in range(2):  # the second time from the cache
@@ -174,11 +174,30 @@ def test_counts_are_the_librarys(spark, edge, documents, tmp_path):
     assert stored.count() == len({v or "" for v in texts.values()})
 
 
+def test_warm_cache(spark, documents, tmp_path, monkeypatch):
+    """Stored counts are used as they are; only new texts are encoded; many misses go by another join."""
+    cache = f"file://{tmp_path}/cache"
+    docs = documents.select("doc_id", "text")
+    t.fill(docs, "byte_bpe_50k.json", cache)
+    n = spark.read.parquet(cache).count()
+    new = spark.createDataFrame([(900_001, "quite a new text"), (900_001, "quite a new text"), (900_002, "another"), (None, "another")], "doc_id long, text string")
+    t.fill(docs.unionByName(new), "byte_bpe_50k.json", cache)
+    assert spark.read.parquet(cache).select("content").distinct().count() == n + 2
+    marked = f"file://{tmp_path}/marked"
+    spark.read.parquet(cache).withColumn("n_tokens", F.col("n_tokens") + 5000).write.parquet(marked)
+    plain = {r[0]: r["n_tokens"] for r in t.count_tokens(docs, "byte_bpe_50k.json", cache).collect()}
+    assert {r[0]: r["n_tokens"] for r in t.count_tokens(docs, "byte_bpe_50k.json", marked).collect()} == {k: v + 5000 for k, v in plain.items()}
+    monkeypatch.setattr(t, "BROADCAST_ROWS", 0)
+    assert {r[0]: r["n_tokens"] for r in t.count_tokens(docs, "byte_bpe_50k.json").collect()} == plain
+    # another file or library version shares nothing
+    assert t.tokenizer_digest("byte_bpe_50k.json") != t.tokenizer_digest("word_bpe_49k.json")
+
+
 def test_other_vocabularies(spark, edge, none):
     for name in ("piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"):
         count = t.counter(name)
         small = edge.where("length(text) < 500 or text is null")
         got = {r["doc_id"]: r["n_tokens"] for r in t.count_tokens(small, name).collect()}
-        assert all(got[r["doc_id"]] == count(r["text"] or "") for r in small.collect())
+        assert all(got[r["doc_id"]] == count([r["text"] or ""])[0] for r in small.collect())
     assert t.count_tokens(none, "byte_bpe_50k.json").count() == 0
 
