@@ -11,14 +11,16 @@ Copies with equal shingle sets are one class, known by its smallest id. In each
 band's bucket all classes are first held against the smallest one. Then, in
 buckets where several components are left, the pairs across components whose
 signatures agree far enough (`agree`: at a similarity of 0.8 missed with
-probability below 1e-8) are verified as well, inside blocks of bounded size, so no
+probability below 1e-8) are verified as well, inside blocks of bounded size: signatures alone
+tell which classes have a partner, and only those are sent their shingle sets. So no
 link between different texts is lost but by the bands: a pair at the threshold
 shares none of 28 bands of 4 with probability (1 - 0.8^4)^28 = 4e-7.
 
 Defined results: null or wordless texts have the empty set and link with nothing;
 texts of fewer words than a shingle are one shingle; rows of one id are one node;
 rows with null id link with nothing and are kept; no documents give no rows;
-columns besides doc_id and text are carried by `keep`, else not read. Shingles are
+texts are read whole, however long; columns
+besides doc_id and text, whatever their names, are carried by `keep`, else not read. Shingles are
 compared by 64-bit fingerprints (48 bits inside blocks), classes by 128 bits and their size.
 """
 
@@ -47,7 +49,7 @@ class Settings:
     bands: int = 28
     rows: int = 4
     agree: int = 64  # of the slots
-    block: int = 256  # classes compared at once
+    block: int = 512  # classes compared at once
 
     @property
     def slots(self) -> int:
@@ -201,56 +203,83 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view(U).ravel()
 
 
-def _across(members: DataFrame, settings: Settings) -> DataFrame:
-    """Links between classes of one bucket and different components.
+_CLASS = "key long, i int, j int, own int, id long, set_hash binary, part long, low binary, bands array<long>"
 
-    members: key, id, set_hash, part (its component), low, bands, prints, n (classes
-    in the bucket); classes of one id are one component. A bucket is dealt as pairs of blocks of about `block` classes. Inside
-    one, a pair is looked at in the first band that it shares, if its parts
-    differ and enough slots agree, and then held on its full sets; links that
-    tie what earlier ones have tied are not returned, so rows are no more than
-    the block's classes."""
+
+class _Block:
+    """The classes of a pair of blocks of one bucket, by id."""
+
+    def __init__(self, pdf: pd.DataFrame, settings: Settings) -> None:
+        self.pdf = pdf = pdf.sort_values(["id", "set_hash"])
+        self.settings, self.ids, self.own = settings, pdf["id"].to_numpy(), pdf["own"].to_numpy()
+        self.low = np.stack([np.frombuffer(x, np.uint8) for x in pdf["low"]])
+        self.bands = np.stack(list(pdf["bands"])).astype(np.int64)
+        self.here = int(np.flatnonzero(self.bands[0] == pdf["key"].iloc[0])[0])
+        self.one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        _, self.part = np.unique(pdf["part"].to_numpy(), return_inverse=True)
+
+    def partners(self, x: int) -> np.ndarray:
+        """Later classes of other components whose slots agree far enough and that share no earlier band, so that a pair is looked at once."""
+        y = np.arange(x + 1, len(self.ids))
+        y = y[(self.part[y] != self.part[x]) & (self.one | (self.own[y] != self.own[x]))]
+        y = y[(self.low[y] == self.low[x]).sum(axis=1) >= self.settings.agree]
+        return y[~(self.bands[y, : self.here] == self.bands[x, : self.here]).any(axis=1)]
+
+
+def _candidates(members: DataFrame, settings: Settings) -> DataFrame:
+    """The classes of each pair of blocks that have a partner in it, told by signatures alone.
+
+    members: key, id, set_hash, part (its component), low, bands, n (classes
+    in the bucket); classes of one id are one component. A bucket is dealt as pairs of blocks of about `block` classes."""
     blocks = F.ceil(F.col("n") / settings.block).cast("int")
     own_block = F.pmod(F.xxhash64("set_hash"), blocks).cast("int")
-    rest = ("id", "set_hash", "part", "low", "bands", "prints")
+    rest = ("id", "set_hash", "part", "low", "bands")
     dealt = members.withColumn("own", own_block).select("key", *rest, "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", *rest, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "set_hash"])
-        low = np.stack([np.frombuffer(x, np.uint8) for x in pdf["low"]])
-        bands = np.stack(list(pdf["bands"])).astype(np.int64)
-        here = int(np.flatnonzero(bands[0] == pdf["key"].iloc[0])[0])
-        ids, block = pdf["id"].to_numpy(), pdf["own"].to_numpy()
-        _, part = np.unique(pdf["part"].to_numpy(), return_inverse=True)
+        of, found = _Block(pdf, settings), np.zeros(len(pdf), bool)
+        for x in range(len(pdf) - 1):
+            y = of.partners(x)
+            found[y] = True
+            found[x] |= bool(len(y))
+        return of.pdf[found]
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(run, _CLASS)
+
+
+def _across(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links between classes of one bucket and different components.
+
+    Only classes with a partner (`_candidates`) are sent their shingle sets, from the texts (id, text). Inside a pair of blocks the
+    partners are held on their full sets; links that tie what earlier ones have tied are not returned, so rows are no more than
+    the block's classes."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = _Block(pdf, settings)
         sets: dict[int, np.ndarray] = {}
 
-        def of(x: int) -> np.ndarray:
+        def full(x: int) -> np.ndarray:
             if x not in sets:
-                sets[x] = _unpack(pdf["prints"].iloc[x])
+                sets[x] = _unpack(of.pdf["prints"].iloc[x])
             return sets[x]
 
-        one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        out = []
-        for x in range(len(ids) - 1):
-            y = np.arange(x + 1, len(ids))
-            y = y[(part[y] != part[x]) & (one | (block[y] != block[x]))]
-            y = y[(low[y] == low[x]).sum(axis=1) >= settings.agree]
-            if here:
-                y = y[~(bands[y, :here] == bands[x, :here]).any(axis=1)]
-            for z in y.tolist():
+        out, part = [], of.part
+        for x in range(len(of.ids) - 1):
+            for z in of.partners(x).tolist():
                 if part[z] == part[x]:
                     continue
-                a, b = of(x), of(z)
+                a, b = full(x), full(z)
                 if 100 * min(len(a), len(b)) < settings.percent * max(len(a), len(b)):
                     continue
                 both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
                 if 100 * both >= settings.percent * (len(a) + len(b) - both):
-                    out.append((ids[x], ids[z]))
+                    out.append((of.ids[x], of.ids[z]))
                     part[part == part[z]] = part[x]
         return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    found = cut(_candidates(members, settings))
+    prints = _prints(texts.join(found.select("id").distinct(), "id", "left_semi"), settings)
+    return found.join(prints, "set_hash").groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -272,11 +301,9 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     labelled = in_bucket.join(parts, in_bucket["id"] == parts["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
     mixed = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
     members = cut(labelled.join(mixed, "key", "left_semi").dropDuplicates(["key", "id"]))
-    wanted = members.select("id").distinct()
-    prints = cut(_prints(texts.join(wanted, "id", "left_semi"), settings))
     # several classes may have one id; those of a bucket have its key among their bands
     of_bucket = members.join(classes.select("id", "set_hash", "low", "bands"), "id").where("array_contains(bands, key)")
-    more = cut(_across(of_bucket.join(prints, "set_hash"), settings))
+    more = cut(_across(of_bucket, texts, settings))
     if more.head(1):
         links = links.union(more)
         parts = cut(components(links))
