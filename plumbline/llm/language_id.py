@@ -9,13 +9,15 @@ training distances, with a margin) is marked as rejected.
 
 Document frequencies cover every training row. Only the clustering uses a bounded
 sample: `PER_LANGUAGE` rows of each language and `SAMPLE` in all, expected, chosen
-by a hash of their id, so its size does not grow with the input.
+by a hash of their id, so its size does not grow with the input. Languages are learned while they are among the `LANGUAGES`
+most frequent, so junk values in lang do not grow the model.
 
 Defined results: training rows have a text, a lang and crc32(doc_id as text) mod 3
 other than 1; null text, or one without a letter, is `und` with score 0 and
 rejected; so is everything when there is nothing to learn from; a text of letters
 without a trigram gets the most frequent language with score 0; a null doc_id is held out;
-ties go to the first language in order; repeated rows each get a row; no documents give no rows.
+ties go to the first language in order; very long texts are read whole; repeated rows each get a row; no documents
+give no rows; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from . import words as w
 
 DIMENSIONS = 4096
 CENTROIDS = 3
+#: Languages that are learned at most: the most frequent ones.
+LANGUAGES = 512
 PER_LANGUAGE = 400
 SAMPLE = 4_000
 RADIUS, MARGIN = 0.99, 1.25
@@ -121,7 +125,7 @@ def held_out() -> Column:
 
 def train(docs: DataFrame) -> Model | None:
     rows = docs.where("text is not null and lang is not null").where(~held_out()).select("doc_id", "lang", "text")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return None
 

@@ -97,6 +97,65 @@ def test_language(spark, documents, edge, none):
     assert {r["lang_pred"] for r in li.identify(unlabelled).collect()} == {"und"}
 
 
+def test_prediction_against_brute_force(spark, documents, edge):
+    """Document frequencies, vectors, cosines, distances and rejection in plain Python, for the model's own centroids."""
+    import math
+
+    model = li.train(documents)
+    fold = lambda b: [(32 if c < 128 and not chr(c).isalpha() else c | 32 if c < 128 else c) for c in b]
+
+    def grams(text):
+        b, out = fold((text or "").encode()), {}
+        for x, y, z in zip(b, b[1:], b[2:], strict=False):
+            if (x, y, z) != (32, 32, 32):
+                k = (((x | y << 8 | z << 16) * 2654435761) & 0xFFFFFFFF) >> 20
+                out[k] = out.get(k, 0) + 1
+        return out
+
+    rows = [r for r in documents.collect() if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    df = {}
+    for r in rows:
+        for k in grams(r["text"]):
+            df[k] = df.get(k, 0) + 1
+    idf = [math.log((1 + len(rows)) / (1 + df.get(k, 0))) + 0.1 for k in range(li.DIMENSIONS)]
+    assert max(abs(a - b) for a, b in zip(idf, model.idf, strict=True)) < 1e-9
+    docs = documents.select("doc_id", "text").union(edge.select(F.col("doc_id") + 70_000, "text"))
+    got = {r["doc_id"]: r for r in li.identify(docs, model).collect()}
+    for i, text in docs.collect():
+        v = {k: n * idf[k] for k, n in grams(text).items()}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1
+        near = [sum(x / length * float(c[k]) for k, x in v.items()) for c in model.centroids]
+        best = max(range(len(near)), key=lambda j: near[j])
+        r = got[i]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        assert abs(r["score"] - min(1, max(0, near[best]))) < 1e-4
+        close = [model.languages[j] for j, x in enumerate(near) if x > near[best] - 1e-5] if near[best] > 0 else [model.usual]
+        assert r["lang_pred"] in close
+        if abs(1 - near[best] - model.radius[best]) > 1e-4 and len(close) == 1:
+            assert r["rejected"] == (1 - near[best] > model.radius[best])
+
+
+def test_centroids_are_their_members_means():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.abs(rng.normal(0, 1, (60, 8))) + 5 * np.eye(8)[rng.integers(0, 3, 60)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c, place = li.cluster(x, 3)
+    assert np.allclose(np.linalg.norm(c, axis=1), 1) and (place == (x @ c.T).argmax(axis=1)).all()
+    for j in range(3):
+        mean = x[place == j].sum(axis=0)
+        assert np.allclose(c[j], mean / np.linalg.norm(mean), atol=1e-3)
+
+
+def test_junk_languages_do_not_grow_the_model(spark, documents, monkeypatch):
+    junk = documents.withColumn("lang", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    monkeypatch.setattr(li, "LANGUAGES", 3)
+    assert len(set(li.train(junk).languages)) == 3
+
+
 def test_vectors_stay_inside_a_text():
     import numpy as np
 
