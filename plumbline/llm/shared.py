@@ -39,6 +39,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, marked for broadcast if it is known to have few rows; else as it is, for a shuffled join."""
     n = df.count() if rows is None else rows

@@ -43,6 +43,36 @@ def test_pipeline_against_brute_force(spark, sf, documents):
     assert sorted((r["doc_id"], r["shard"]) for r in got) == sorted(shards)
 
 
+def test_pipeline_of_edge_tables(spark, clashing, none, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names and empty tables."""
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "first tail one"), (None, "x"), (2, None)], "item_id long, text string")
+    empty = clashing.limit(0)
+    for name, docs, l, b in (("full", clashing, labels, bench), ("no documents", empty, labels, bench), ("only documents", clashing, labels.limit(0), bench.limit(0))):
+        for table, df in (("documents", docs), ("labels", l), ("benchmark", b)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        got = out.collect()
+        assert out.columns[: len(clashing.columns)] == clashing.columns and len(out.columns) == len(clashing.columns) + 6
+        assert {r["kept"] for r in got} <= {"own"}
+        if name == "no documents":
+            assert not got
+    # stage by stage: the base rule leaves 1, 2 (twice), 3, a null id, and the long texts
+    sf_dir = f"{tmp_path}/full"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ids = lambda df: sorted(str(r["doc_id"]) for r in df.select("doc_id").collect())
+    good = corpus_pipeline.quality(spark, docs, sf_dir)
+    assert ids(good) == sorted(["1", "2", "2", "3", "7", "8", "None"])
+    near = corpus_pipeline.near_dedup(spark, good, sf_dir)
+    assert ids(near) == sorted(["1", "7", "None"])
+    clean = corpus_pipeline.decontaminate(spark, near, sf_dir)
+    assert ids(clean) == ids(near) and not clean.where(F.col("text").contains("tail")).count()
+    mixed = corpus_pipeline.mixed(spark, clean, sf_dir)
+    assert mixed.columns == docs.columns and set(ids(mixed)) <= set(ids(clean))
+
+
 def test_registered():
     names = entry.queries()
     assert {f"op{i}_" for i in range(1, 11)} <= {n.split("_")[0] + "_" for n in names} and "pipeline" in names
