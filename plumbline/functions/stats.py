@@ -1,14 +1,20 @@
-"""Kernels the metrics are made of. All are DataFrame plans; none gathers rows."""
+"""Kernels the metrics are made of. All are DataFrame plans; none gathers rows, but `pair_sums` its capped points."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets of the value axis in running sums: so many coarse ones, each of as many fine ones.
 WAYS = 20
+#: Ranks of a feature with at most so many values are sent to the rows; with more, rows are dealt by value.
+FEW_VALUES = 10_000
+#: Bytes of points that are sent to every task at most.
+POINT_BYTES = 256 << 20
 #: Parts that a group is dealt to before its first rows are taken.
 SALTS = 64
 
@@ -116,9 +122,11 @@ def mid_ranks(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ())
     long = df.select("side", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in features])).alias("c")).select("side", "c.feature", "c.v").where("v is not null")
     c = long.groupBy("side", "feature", "v").agg(F.count("*").alias("c"))
     ranks = running(c, ["side", "feature"], "v", ["c"], long).select("side", "feature", "v", (F.col("c_to") - (F.col("c") - 1) / 2.0).alias("rank"), "c_all")
+    few = df.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).head()
     out = df.select("side", *keep, *features)
     for f in features:
         one = ranks.where(F.col("feature") == f).select(F.col("side").alias("_s"), F.col("v").alias("_v"), F.col("rank").alias(f"r_{f}"), F.col("c_all").alias(f"n_{f}"))
+        one = F.broadcast(one) if few[f] <= FEW_VALUES else one
         out = out.join(one, (F.col("side") == F.col("_s")) & (F.col(f) == F.col("_v")), "left").drop("_s", "_v")
     return out.select("side", *keep, *[F.col(f"r_{f}").alias(f) for f in features], *[f"n_{f}" for f in features])
 
@@ -128,28 +136,72 @@ def distance(features: Sequence[str], a: str, b: str) -> Column:
     return F.sqrt(sum((F.pow(F.col(f"{a}.{f}") - F.col(f"{b}.{f}"), 2) for f in features), F.lit(0.0)))
 
 
-def energy(df: DataFrame, features: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """(group, n_syn, n_real, energy, scale) of capped rows (side, group, `_id`): twice the mean cross distance less both mean inner ones, at least 0; scale: mean population deviation of the real features.
-
-    All pairs of capped sides, joined by broadcast and summed as they arise; the
-    inner sums take each pair once."""
-    group = list(group)
-    df = df.select("side", *group, "_id", *features)
-    real, syn = df.where("side = 'real'"), df.where("side = 'synthetic'")
+def blocks(a: np.ndarray, b: np.ndarray, rows_at_once: int = 256) -> Iterator[tuple[slice, np.ndarray]]:
+    """Distances of all rows of a to all of b, some rows of a at a time; differences are summed, as norms and dot products lose digits near 0."""
+    for lo in range(0, len(a), rows_at_once):
+        at = slice(lo, min(len(a), lo + rows_at_once))
+        d = np.zeros((at.stop - lo, len(b)))
+        for j in range(a.shape[1]):
+            gap = a[at, j, None] - b[None, :, j]
+            gap *= gap
+            d += gap
+        yield at, np.sqrt(d, out=d)
+
+
+def matrix(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
+    """Columns of numbers as one matrix, missing ones as NaN."""
+    return np.stack([table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1) if table.num_rows else np.zeros((0, len(columns)))
+
+
+def tasks(spark, n: int, run, schema: str) -> DataFrame:
+    """run over the numbers 0 .. n - 1, dealt evenly to the executors."""
+    return spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
+
+
+def pair_sums(points: DataFrame, of: str, features: Sequence[str], inner_only_with: str | None = None) -> DataFrame:
+    """(a, b, total): sums of distances over the pairs of points of the sets a < b, and over each set's own pairs, once each. of: the column that names a point's set.
+
+    inner_only_with: sets are only paired where their names are equal up to this mark.
+    The points are capped by their callers to `POINT_BYTES` in all; they are sent to
+    every task, which sums blocks of pairs as they arise."""
+    spark = points.sparkSession
+    table = points.select(F.col(of).cast("string").alias("_of"), *features).toArrow()
+    names, x = np.array(table.column("_of").to_pylist(), object), matrix(table, features)
+    sets = {n: x[names == n] for n in sorted(set(names.tolist()))}
+    family = lambda n: n.partition(inner_only_with)[0] if inner_only_with else ""
+    order = list(sets)
+    work = [(a, b, lo) for i, a in enumerate(order) for b in order[i:] if family(a) == family(b) for lo in range(0, len(sets[a]), 512)]
+    held = spark.sparkContext.broadcast((sets, work))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, work = held.value
+        for batch in batches:
+            out = []
+            for i in batch.column(0).to_pylist():
+                a, b, lo = work[i]
+                part, total = sets[a][lo : lo + 512], 0.0
+                if a != b:
+                    total = sum(float(np.nansum(d)) for _, d in blocks(part, sets[b]))
+                else:
+                    total = sum(float(np.nansum(d)) for _, d in blocks(part, sets[a][lo + 512 :])) + sum(float(np.nansum(d)) for _, d in blocks(part, part)) / 2
+                out.append((a, b, total))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64())], names=["a", "b", "total"])
+
+    return tasks(spark, len(work), run, "a string, b string, total double").groupBy("a", "b").agg(F.sum("total").alias("total"))
 
-    def total(a: DataFrame, b: DataFrame, inner: bool, name: str) -> DataFrame:
-        on = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
-        if inner:
-            on.append(F.col("a._id") < F.col("b._id"))
-        joined = a.alias("a").join(F.broadcast(b.alias("b")), on or None, "inner" if on else "cross")
-        return joined.groupBy(*[F.col(f"a.{g}").alias(g) for g in group]).agg(F.sum(distance(features, "a", "b")).alias(name))
 
+def energy(df: DataFrame, features: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """(group, n_syn, n_real, energy, scale) of capped rows (side, group, features): twice the mean cross distance less both mean inner ones, at least 0; scale: mean population deviation of the real features."""
+    group = list(group)
+    name = F.concat_ws("|", F.lit("g"), *[F.col(g).cast("string") for g in group])
     size = df.groupBy(*group).agg(F.count_if(F.col("side") == "synthetic").alias("n_syn"), F.count_if(F.col("side") == "real").alias("n_real"), (sum((F.stddev_pop(F.when(F.col("side") == "real", F.col(f))) for f in features), F.lit(0.0)) / len(features)).alias("scale"))
-    out = size
-    for part in (total(syn, real, False, "xy"), total(syn, syn, True, "xx"), total(real, real, True, "yy")):
-        out = out.join(part, group, "left") if group else out.crossJoin(part)
+    sums = pair_sums(df.withColumn("_set", F.concat(name, F.lit("#"), "side")), "_set", features, "#")
+    side = lambda c: F.substring_index(c, "#", -1)
+    per = sums.groupBy(F.substring_index("a", "#", 1).alias("_g")).agg(
+        F.sum(F.when(side("a") != side("b"), F.col("total"))).alias("xy"), F.sum(F.when((side("a") == "synthetic") & (side("b") == "synthetic"), F.col("total"))).alias("xx"), F.sum(F.when((side("a") == "real") & (side("b") == "real"), F.col("total"))).alias("yy"))
+    out = size.withColumn("_g", name).join(per, "_g", "left")
     s, r = F.col("n_syn"), F.col("n_real")
-    e = 2 * F.col("xy") / (s * r) - 2 * F.coalesce("xx", F.lit(0.0)) / (s * (s - 1)) - 2 * F.coalesce("yy", F.lit(0.0)) / (r * (r - 1))
+    e = 2 * F.col("xy") / F.nullif(s * r, F.lit(0)) - 2 * F.coalesce("xx", F.lit(0.0)) / F.nullif(s * (s - 1), F.lit(0)) - 2 * F.coalesce("yy", F.lit(0.0)) / F.nullif(r * (r - 1), F.lit(0))
     return out.select(*group, "n_syn", "n_real", F.greatest(e, F.lit(0.0)).alias("energy"), "scale")
 
 

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import energy, first_rows, quantiles, rows
+from ..functions.stats import POINT_BYTES, distance, energy, first_rows, pair_sums, quantiles, rows
 from ..sources.panels import REAL, Forecast, Paths
 from . import calibration as cal
 
 
 def regime_conditional(paths: Paths, n_regimes: int = 3, cap: int = 5000, weights: tuple[float, ...] = (0.25, 0.30, 0.45)) -> DataFrame:
-    """Energy distance of the steps within regimes of realised volatility (edges from the real side), weighted, plus half the gap of the regimes' shares; a regime of under 50 rows on a side counts 1."""
+    """Energy distance of the steps within regimes of realised volatility (edges from the real side), weighted, plus half the gap of the regimes' shares; a regime of under 50 rows on a side counts 1. Under 5 real paths a regime, or without a synthetic one, there is no overall value."""
     sq = sum((F.coalesce(F.col(f) * F.col(f), F.lit(0.0)) for f in paths.features), F.lit(0.0))
     n = sum((F.col(f).isNotNull().cast("int") for f in paths.features), F.lit(0))
     vol = paths.df.groupBy("side", "path").agg(F.sqrt(F.sum(sq) / F.nullif(F.sum(n), F.lit(0))).alias("v"))
     edges = quantiles(vol.where((F.col("side") == REAL) & F.col("v").isNotNull()).select(F.lit(1).alias("one"), "v"), ["one"], [i / n_regimes for i in range(1, n_regimes)]).select("q")
     binned = vol.join(F.broadcast(edges)).select("side", "path", F.when(F.col("v").isNull(), n_regimes - 1).otherwise(F.size(F.filter("q", lambda e: e <= F.col("v")))).alias("regime"))
     share = binned.groupBy("regime").agg(F.count_if(F.col("side") == REAL).alias("r"), F.count_if(F.col("side") != REAL).alias("s"))
-    total = binned.agg(F.count_if(F.col("side") == REAL).alias("nr"), F.count_if(F.col("side") != REAL).alias("ns"))
-    mass = share.join(F.broadcast(total)).agg((F.sum(F.abs(F.col("s") / F.col("ns") - F.col("r") / F.col("nr"))) / 2).alias("mass"))
+    total = vol.agg(F.count_if(F.col("side") == REAL).alias("nr"), F.count_if(F.col("side") != REAL).alias("ns"), ((F.count(F.when(F.col("side") == REAL, F.col("v"))) >= 5 * n_regimes) & (F.count(F.when(F.col("side") != REAL, F.col("v"))) > 0)).alias("enough"))
+    mass = share.join(F.broadcast(total)).agg((F.sum(F.abs(F.col("s") / F.col("ns") - F.col("r") / F.col("nr"))) / 2).alias("mass"), F.max("enough").alias("enough"))
     steps = paths.df.join(binned, ["side", "path"])
     first = first_rows(steps, ["side", "regime"], ["path", "t"], cap, "_id").dropna(subset=list(paths.features))
     e = energy(first, paths.features, ["regime"])
@@ -27,7 +27,7 @@ def regime_conditional(paths: Paths, n_regimes: int = 3, cap: int = 5000, weight
     one = e.agg(*[F.coalesce(F.max(F.when(F.col("regime") == i, F.col("value"))), F.lit(1.0)).alias(f"regime_{i}") for i in range(n_regimes)]).crossJoin(mass)
     w = [x / sum(weights) for x in weights]
     within = sum((F.col(f"regime_{i}") * w[i] for i in range(n_regimes)), F.lit(0.0))
-    return rows(one, {**{f"regime_{i}": F.col(f"regime_{i}") for i in range(n_regimes)}, "mass_error": F.col("mass")}, within + 0.5 * F.col("mass"))
+    return rows(one, {**{f"regime_{i}": F.col(f"regime_{i}") for i in range(n_regimes)}, "mass_error": F.col("mass")}, F.when(F.col("enough"), within + 0.5 * F.col("mass")))
 
 
 def _pools(fc: Forecast, axis: str, least: int, cap: int) -> tuple[DataFrame, DataFrame]:
@@ -44,19 +44,24 @@ def _pools(fc: Forecast, axis: str, least: int, cap: int) -> tuple[DataFrame, Da
 
 
 def _between(pool: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """One row `d`: the mean raw energy distance over pairs of labels."""
-    from ..functions.stats import distance
-
-    def sums(on, name: str) -> DataFrame:
-        j = pool.alias("a").join(F.broadcast(pool.alias("b")), on)
-        return j.groupBy(F.col("a.label").alias("la"), F.col("b.label").alias("lb")).agg(F.sum(distance(features, "a", "b")).alias(name))
-
-    cross = sums(F.col("a.label") < F.col("b.label"), "xy")
-    inner = sums((F.col("a.label") == F.col("b.label")) & (F.col("a._id") < F.col("b._id")), "xx").select(F.col("la").alias("label"), "xx")
-    n = pool.groupBy("label").agg(F.count("*").alias("n")).join(inner, "label", "left")
-    n = n.select("label", "n", (2 * F.coalesce("xx", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1))).alias("self"))
+    """One row `d`: the mean raw energy distance over pairs of labels.
+
+    Blocks of pairs of labels are dealt to the executors (`pair_sums`); a pool of more than
+    `POINT_BYTES` is paired by a join instead, which Spark plans by the pool's size."""
+    n = pool.groupBy("label").agg(F.count("*").alias("n"))
+    if pool.count() * 8 * len(features) <= POINT_BYTES:
+        sums = pair_sums(pool, "label", features)
+        cross = sums.where("a <> b").select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("total").alias("xy"))
+        inner = sums.where("a = b").select(F.col("a").alias("label"), F.col("total").alias("xx"))
+    else:
+        def joined(on, name: str) -> DataFrame:
+            return pool.alias("a").join(pool.alias("b"), on).groupBy(F.col("a.label").alias("la"), F.col("b.label").alias("lb")).agg(F.sum(distance(features, "a", "b")).alias(name))
+
+        cross = joined(F.col("a.label") < F.col("b.label"), "xy")
+        inner = joined((F.col("a.label") == F.col("b.label")) & (F.col("a._id") < F.col("b._id")), "xx").select(F.col("la").alias("label"), "xx")
+    n = n.join(inner, "label", "left").select("label", "n", (2 * F.coalesce("xx", F.lit(0.0)) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0))).alias("self"))
     a, b = n.select(F.col("label").alias("la"), F.col("n").alias("na"), F.col("self").alias("sa")), n.select(F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("self").alias("sb"))
-    e = cross.join(F.broadcast(a), "la").join(F.broadcast(b), "lb")
+    e = cross.join(a, "la").join(b, "lb")
     return e.agg(F.avg(F.greatest(2 * F.col("xy") / (F.col("na") * F.col("nb")) - F.col("sa") - F.col("sb"), F.lit(0.0))).alias("d"))
 
 
@@ -69,8 +74,11 @@ def conditional_sensitivity(fc: Forecast, axis: str = "vol", least: int = 15, ca
     return rows(both, {"d_real": F.col("d_real"), "d_model": F.col("d_model")}, value)
 
 
-def multi_axis_sensitivity(fc: Forecast, axes: tuple[str, ...] = ("trend", "vol")) -> DataFrame:
-    """conditional_sensitivity of each axis; overall: the worst."""
+def multi_axis_sensitivity(fc: Forecast, axes: tuple[str, ...] | None = None) -> DataFrame:
+    """conditional_sensitivity of each axis (all that the labels have unless given); overall: the worst."""
+    axes = axes or tuple(r[0] for r in fc.labels.select("axis").distinct().orderBy("axis").collect())
+    if not axes:
+        raise ValueError("the labels have no axis")
     out = None
     for axis in axes:
         one = conditional_sensitivity(fc, axis).where("key = 'overall'").select(F.lit(f"conditional_sensitivity@{axis}").alias("key"), "value")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import mean, mid_ranks, quantiles, rows, safe_corr
-from ..sources.panels import REAL, SYNTHETIC, Flat, on
+from ..sources.panels import REAL, SYNTHETIC, Flat, Paths, on
 
 
 def pairs(features: tuple[str, ...]) -> list[tuple[str, str]]:
@@ -19,15 +19,21 @@ def _name(a: str, b: str) -> str:
     return f"{a}<->{b}"
 
 
-def _corr_gap(df: DataFrame, features: tuple[str, ...], least: int = 10) -> DataFrame:
-    """Gap of correlations per pair over rows where both are present; under `least` of them, or with a constant, the correlation is 0."""
-    aggs = []
+def _enough(least: int) -> tuple[list[Column], Column]:
+    """Aggregates that count the rows of each side, and whether both have at least so many."""
+    return [F.count(on(s, F.lit(1))).alias(f"n|{s}") for s in (REAL, SYNTHETIC)], F.least(f"n|{REAL}", f"n|{SYNTHETIC}") >= least
+
+
+def _corr_gap(df: DataFrame, features: tuple[str, ...], least: int = 10, rows_needed: int = 0) -> DataFrame:
+    """Gap of correlations per pair over rows where both are present; under `least` of them, or with a constant, the correlation is 0. No overall value under `rows_needed` rows on a side."""
+    aggs, enough = _enough(rows_needed)
     for a, b in pairs(features):
         for s in (REAL, SYNTHETIC):
             x, y = on(s, F.col(a)), on(s, F.col(b))
             both = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
             aggs.append(F.when(both >= least, F.coalesce(safe_corr(x, y), F.lit(0.0))).otherwise(0.0).alias(f"{s}|{a}|{b}"))
-    return rows(df.agg(*aggs), {_name(a, b): F.abs(F.col(f"{SYNTHETIC}|{a}|{b}") - F.col(f"{REAL}|{a}|{b}")) for a, b in pairs(features)})
+    items = {_name(a, b): F.abs(F.col(f"{SYNTHETIC}|{a}|{b}") - F.col(f"{REAL}|{a}|{b}")) for a, b in pairs(features)}
+    return rows(df.agg(*aggs), items, F.when(enough, mean(list(items.values()))))
 
 
 def pearson_corr(panel: Flat) -> DataFrame:
@@ -35,8 +41,8 @@ def pearson_corr(panel: Flat) -> DataFrame:
 
 
 def cross_correlation(panel: Flat) -> DataFrame:
-    """As pearson_corr over complete rows."""
-    return _corr_gap(panel.complete(), panel.features)
+    """As pearson_corr over complete rows, of which each side needs 50."""
+    return _corr_gap(panel.complete(), panel.features, rows_needed=50)
 
 
 def spearman_corr(panel: Flat) -> DataFrame:
@@ -109,8 +115,9 @@ def tail_dependence_lower(panel: Flat, q: float = 0.05) -> DataFrame:
     return _tail_dependence(panel, q, "lower")
 
 
-def tail_dependence_asymmetry(panel: Flat, q: float = 0.10) -> DataFrame:
-    """Lower less upper tail coefficient per pair and side; overall: the gap of the two sides' means over pairs with all tails."""
+def tail_dependence_asymmetry(panel: Flat | Paths, q: float = 0.10) -> DataFrame:
+    """Lower less upper tail coefficient per pair and side; overall: the gap of the two sides' means over pairs with all tails. Paths are taken as their pooled steps."""
+    panel = panel.flatten() if isinstance(panel, Paths) else panel
     a, names = _tails(panel, q, F.lit(None).cast("double"))
     asym = {}
     for x, y in pairs(panel.features):
@@ -168,18 +175,22 @@ def _moments(panel: Flat, df: DataFrame, sides: tuple[str, ...]) -> DataFrame:
 
 
 def coskewness(panel: Flat, cap: int = 200) -> DataFrame:
-    """Gap of E[z_i^2 z_j] over ordered pairs, each side by its own mean and deviation."""
+    """Gap of E[z_i^2 z_j] over ordered pairs, each side by its own mean and deviation; a side needs 50 complete rows."""
     df = _moments(panel, panel.complete(), (REAL, SYNTHETIC))
     z = {(s, f): on(s, (F.col(f) - F.col(f"m_{s}_{f}")) / (F.col(f"sd_{s}_{f}") + 1e-12)) for s in (REAL, SYNTHETIC) for f in panel.features}
     chosen = _capped(panel.features, cap, 0, ordered=True)
-    one = df.agg(*[F.avg(z[(s, a)] * z[(s, a)] * z[(s, b)]).alias(f"{s}|{a}|{b}") for a, b in chosen for s in (REAL, SYNTHETIC)])
-    return rows(one, {f"{a}^2*{b}": F.abs(F.col(f"{SYNTHETIC}|{a}|{b}") - F.col(f"{REAL}|{a}|{b}")) for a, b in chosen})
+    count, enough = _enough(50)
+    one = df.agg(*count, *[F.avg(z[(s, a)] * z[(s, a)] * z[(s, b)]).alias(f"{s}|{a}|{b}") for a, b in chosen for s in (REAL, SYNTHETIC)])
+    items = {f"{a}^2*{b}": F.abs(F.col(f"{SYNTHETIC}|{a}|{b}") - F.col(f"{REAL}|{a}|{b}")) for a, b in chosen}
+    return rows(one, items, F.when(enough, mean(list(items.values()))))
 
 
 def variogram_score(panel: Flat, p: float = 0.5) -> DataFrame:
-    """Gap of E|z_i - z_j|^p per pair, both sides by the real mean and deviation."""
+    """Gap of E|z_i - z_j|^p per pair, both sides by the real mean and deviation; a side needs 50 finite rows."""
     df = _moments(panel, panel.finite(), (REAL,))
     z = {f: (F.col(f) - F.col(f"m_{REAL}_{f}")) / (F.col(f"sd_{REAL}_{f}") + 1e-12) for f in panel.features}
-    one = df.agg(*[F.avg(on(s, F.pow(F.abs(z[a] - z[b]), p))).alias(f"{s}|{a}|{b}") for a, b in pairs(panel.features) for s in (REAL, SYNTHETIC)])
-    return rows(one, {_name(a, b): F.abs(F.col(f"{SYNTHETIC}|{a}|{b}") - F.col(f"{REAL}|{a}|{b}")) for a, b in pairs(panel.features)})
+    count, enough = _enough(50)
+    one = df.agg(*count, *[F.avg(on(s, F.pow(F.abs(z[a] - z[b]), p))).alias(f"{s}|{a}|{b}") for a, b in pairs(panel.features) for s in (REAL, SYNTHETIC)])
+    items = {_name(a, b): F.abs(F.col(f"{SYNTHETIC}|{a}|{b}") - F.col(f"{REAL}|{a}|{b}")) for a, b in pairs(panel.features)}
+    return rows(one, items, F.when(enough, mean(list(items.values()))))
 

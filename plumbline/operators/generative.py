@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import rows
+from ..functions.stats import blocks, rows, tasks
 from ..sources.panels import REAL, SYNTHETIC, Flat, Paths
 
 CAP = 2000
@@ -44,26 +48,50 @@ def as_points(panel: Paths | Flat, cap: int = CAP) -> DataFrame:
     return first.join(F.broadcast(m)).select("side", "_id", z.alias("v"))
 
 
-def _gap(a: str, b: str) -> Column:
-    """Distance of two arrays; differences are summed, as norms and dot products lose digits near 0."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def _sides(x: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The capped points (side, v) of the real and of the synthetic side, as matrices."""
+    table = x.select("side", "v").toArrow()
+    side = np.array(table.column("side").to_pylist(), object)
+    v = table.column("v").combine_chunks()
+    flat = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
+    return flat[side == REAL], flat[side == SYNTHETIC]
+
+
+def _nearest(x: DataFrame, run, schema: str, n: str) -> DataFrame:
+    """run(rows, real, synthetic) over blocks of rows of one side (n), each held against both capped sides, which go to every task."""
+    real, syn = _sides(x)
+    held = x.sparkSession.sparkContext.broadcast((real, syn))
 
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield run(batch.column(0).to_numpy(), *held.value)
 
-def _radius(real: DataFrame, k: int) -> DataFrame:
-    """(rid, radius): distance of the (k+1)-th nearest other real point; without that many, infinite."""
-    d = real.alias("a").join(F.broadcast(real.alias("b")), F.col("a._id") != F.col("b._id")).select(F.col("a._id").alias("rid"), _gap("a.v", "b.v").alias("d"))
-    rank = d.withColumn("n", F.row_number().over(Window.partitionBy("rid").orderBy("d")))
-    return rank.where(F.col("n") <= k + 1).groupBy("rid").agg(F.when(F.count("*") == k + 1, F.max("d")).otherwise(float("inf")).alias("radius"))
+    return tasks(x.sparkSession, len(real) if n == REAL else len(syn), part, schema)
+
+
+def _others(rows_: np.ndarray, real: np.ndarray, k: int) -> np.ndarray:
+    """Distance of some real points to their k-th nearest other one; infinite where there are fewer."""
+    out = np.full(len(rows_), np.inf)
+    for at, d in blocks(real[rows_], real):
+        d[np.arange(len(d)), rows_[at]] = np.inf
+        if len(real) >= k:
+            out[at] = np.partition(d, k - 1, axis=1)[:, k - 1]
+    return out
 
 
 def density_coverage(panel: Paths | Flat, k: int = 5, cap: int = CAP) -> DataFrame:
-    """density: synthetic points inside the balls of real ones, over k and their number; coverage: balls that hold one."""
+    """density: synthetic points inside the balls of real ones, over k and their number; coverage: balls that hold one. A ball reaches to the (k+1)-th nearest other real point."""
     x = as_points(panel, cap)
-    real, syn = x.where(F.col("side") == REAL), x.where(F.col("side") == SYNTHETIC)
-    balls = real.join(_radius(real, k), real["_id"] == F.col("rid"))
-    hits = balls.alias("a").join(F.broadcast(syn.alias("b"))).groupBy("a._id").agg(F.count_if(_gap("a.v", "b.v") <= F.col("a.radius")).alias("n"))
-    one = hits.agg(F.sum("n").alias("n"), F.avg((F.col("n") > 0).cast("double")).alias("coverage")).crossJoin(syn.agg(F.count("*").alias("ns")))
-    density = F.col("n") / (k * F.col("ns"))
+
+    def run(rows_: np.ndarray, real: np.ndarray, syn: np.ndarray) -> pa.RecordBatch:
+        radius, n = _others(rows_, real, k + 1), np.zeros(len(rows_), np.int64)
+        for at, d in blocks(real[rows_], syn):
+            n[at] = (d <= radius[at, None]).sum(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(n)], names=["n"])
+
+    hits = _nearest(x, run, "n long", REAL)
+    one = hits.agg(F.sum("n").alias("n"), F.avg((F.col("n") > 0).cast("double")).alias("coverage")).crossJoin(x.where(F.col("side") == SYNTHETIC).agg(F.count("*").alias("ns")))
+    density = F.col("n") / F.nullif(k * F.col("ns"), F.lit(0))
     return rows(one, {"density": density, "coverage": F.col("coverage")}, F.col("coverage"))
 
 
@@ -96,10 +124,17 @@ def memorization(paths: Paths, cap: int = CAP, least: int = 10) -> DataFrame:
     v = df.groupBy("side", "path").agg(F.sort_array(F.collect_list(cell)).alias("v"), F.count("*").alias("_h"))
     v = v.where(F.forall("v", lambda c: _present(c, paths.features)))
     v = v.select("side", "path", F.flatten(F.transform("v", lambda c: F.array(*[c[f] for f in paths.features]))).alias("v"))
-    real, syn = v.where(F.col("side") == REAL), v.where(F.col("side") == SYNTHETIC)
-    gap = _gap("a.v", "b.v")
-    rr = real.alias("a").join(F.broadcast(real.alias("b")), F.col("a.path") != F.col("b.path")).groupBy("a.path").agg(F.min(gap).alias("d"))
-    sr = syn.alias("a").join(F.broadcast(real.alias("b"))).groupBy("a.path").agg(F.min(gap).alias("d"))
+
+    def among(rows_: np.ndarray, real: np.ndarray, syn: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(_others(rows_, real, 1))], names=["d"])
+
+    def to_real(rows_: np.ndarray, real: np.ndarray, syn: np.ndarray) -> pa.RecordBatch:
+        out = np.full(len(rows_), np.inf)
+        for at, d in blocks(syn[rows_], real):
+            out[at] = d.min(axis=1, initial=np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(out)], names=["d"])
+
+    rr, sr = _nearest(v, among, "d double", REAL), _nearest(v, to_real, "d double", SYNTHETIC)
     r = rr.agg(F.percentile("d", 0.5).alias("med_r"), F.percentile("d", 0.05).alias("q05"))
     s = sr.crossJoin(F.broadcast(r)).agg(F.percentile("d", 0.5).alias("med_s"), F.avg((F.col("d") < F.col("q05")).cast("double")).alias("near"), F.max("med_r").alias("med_r"), F.count("*").alias("n"))
     ratio = F.col("med_s") / (F.col("med_r") + 1e-12)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import energy, rows, uniform
 from ..sources.panels import REAL, SYNTHETIC, Flat, Paths
+from .generative import feature_names, path_features
 
 
 def neighbours(points: DataFrame, features: tuple[str, ...], k: int) -> DataFrame:
@@ -19,7 +20,7 @@ def neighbours(points: DataFrame, features: tuple[str, ...], k: int) -> DataFram
     The point set is capped by its callers, so it is sent to every task; each
     task finds neighbours of its own rows in blocks."""
     held = sorted(points.select("id", "label", *features).collect())
-    everyone = points.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([r[2:] for r in held], float)))
+    everyone = points.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64), np.array([r[2:] for r in held], float).reshape(len(held), len(features))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, labels, x = everyone.value
@@ -54,20 +55,24 @@ def capped_points(panel: Flat, cap: int, seed: int | None = None) -> DataFrame:
     return both.select((F.col("_n") * 2 + label).cast("long").alias("id"), label.alias("label"), "side", *panel.features)
 
 
-def c2st(panel: Flat, k: int = 5, cap: int = 1500, n_perm: int = 100, seed: int | None = 0) -> DataFrame:
-    """|2 accuracy - 1| of the leave-one-out vote of the k nearest neighbours; overall with accuracy and the permutation p-value.
+def c2st(panel: Flat | Paths, k: int = 5, cap: int = 1500, n_perm: int = 100, seed: int | None = 0) -> DataFrame:
+    """|2 accuracy - 1| of the leave-one-out vote of the k nearest neighbours; overall with accuracy and the permutation p-value. Paths are points of their path features. Under k + 5 complete points a side there is no overall value.
 
     The graph is found once; each permutation deals the labels anew by a hash."""
+    if isinstance(panel, Paths):
+        panel = Flat(path_features(panel), feature_names(panel), ("path",))
     points = capped_points(panel, cap, seed)
     m = points.agg(*[g(f).alias(f"{n}{f}") for f in panel.features for n, g in (("m_", F.avg), ("s_", F.stddev_pop))], F.count("*").alias("_n"))
     z = points.join(F.broadcast(m)).select("id", "label", *[((F.col(f) - F.col(f"m_{f}")) / (F.col(f"s_{f}") + 1e-12)).alias(f) for f in panel.features])
     graph = neighbours(z, panel.features, k)
     right = ((F.col("votes") / F.lit(float(k)) >= 0.5).cast("int") == F.col("label")).cast("double")
     if not n_perm:
-        return rows(graph.agg(F.avg(right).alias("acc")), {"accuracy": F.col("acc")}, F.abs(2 * F.col("acc") - 1))
+        return rows(graph.agg(F.avg(right).alias("acc"), F.count("*").alias("n")), {"accuracy": F.col("acc")}, F.when(F.col("n") >= 2 * (k + 5), F.abs(2 * F.col("acc") - 1)))
     graph = graph.select("id", "label", "near", "votes")
     seen = graph.agg(F.avg(right).alias("acc"))
     held = graph.collect()  # at most 2 * cap rows
+    if len(held) < 2 * (k + 5):
+        return rows(seen, {"accuracy": F.col("acc")}, F.lit(None).cast("double"))
     ids = np.array([r[0] for r in held])
     order = np.argsort(ids)
     place = np.searchsorted(ids[order], np.array([r[2] for r in held]))

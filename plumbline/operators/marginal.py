@@ -15,6 +15,20 @@ def marginal_ks(panel: Flat) -> DataFrame:
     return with_overall(ks(panel.long()).select(F.col("feature").alias("key"), F.when(short, 1.0).otherwise(F.col("ks")).alias("value")))
 
 
+def kolmogorov(x: Column, terms: int = 100) -> Column:
+    """P(K > x) by the series 2 sum (-1)^(j-1) exp(-2 j^2 x^2); 1 for x under 0.2, where it is 1 to nine digits."""
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda acc, j: acc + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * x * x))
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
+
+
+def marginal_ks_p_values(panel: Flat) -> DataFrame:
+    """The asymptotic p-value of each feature's Kolmogorov-Smirnov statistic, 0 under 10 values on a side. Overall: the least."""
+    n, m = F.col("n_syn").cast("double"), F.col("n_real").cast("double")
+    short = (F.col("n_real") < 10) | (F.col("n_syn") < 10)
+    p = F.when(short, 0.0).otherwise(kolmogorov(F.sqrt(n * m / (n + m)) * F.col("ks")))
+    return with_overall(ks(panel.long()).select(F.col("feature").alias("key"), p.alias("value")), F.min("value"))
+
+
 def energy_distance(panel: Flat, cap: int = 5000) -> DataFrame:
     """Energy distance of the first rows of each side over the real side's mean deviation."""
     first = panel.head(panel.df, cap).dropna(subset=list(panel.features)).withColumn("_id", F.struct(*panel.order))
@@ -79,6 +93,8 @@ def aggregational_gaussianity(paths: Paths, taus: tuple[int, ...] = (1, 5, 10))
     """Gap of excess kurtosis of non-overlapping sums over tau steps."""
     h = paths.horizon()
     taus = tuple(t for t in taus if t <= h.get(REAL, 0))
+    if not taus:
+        raise ValueError("the real paths are shorter than any sum")
     whole = F.when(F.col("side") == REAL, h.get(REAL, 0)).otherwise(h.get(SYNTHETIC, 0))
     out = None
     for tau in taus:
@@ -92,6 +108,8 @@ def aggregational_gaussianity(paths: Paths, taus: tuple[int, ...] = (1, 5, 10))
 
 def conditional_heavy_tails(paths: Paths, window: int = 5) -> DataFrame:
     """Gap of excess kurtosis of returns over the deviation of the steps before."""
+    if paths.horizon().get(SYNTHETIC, 0) < window + 3:
+        raise ValueError("the synthetic paths are too short")
     w = paths.window().rowsBetween(-window, -1)
     x = paths.df.withColumns({f"_{f}": F.stddev_pop(f).over(w) for f in paths.features}).where(F.col("t") >= window)
     z = {f: F.when(F.col(f"_{f}") > 1e-12, F.col(f) / F.col(f"_{f}")) for f in paths.features}

@@ -32,6 +32,11 @@ def _acf(paths: Paths, lags: tuple[int, ...], power: int, horizon: int) -> DataF
     return _gap(one, [(f, k) for f in paths.features for k in lags])
 
 
+def _at_least(paths: Paths, steps: int) -> None:
+    if paths.horizon().get(SYNTHETIC, 0) < steps:
+        raise ValueError("the synthetic paths are too short")
+
+
 def acf_returns(paths: Paths, lags: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
     """Gap of mean autocorrelations of returns."""
     return _acf(paths, lags, 1, max(lags) + 5)
@@ -44,8 +49,7 @@ def volatility_clustering(paths: Paths, lags: tuple[int, ...] = (1, 2, 3, 4, 5))
 
 def leverage_effect(paths: Paths, lags: tuple[int, ...] = (1, 2, 5, 10)) -> DataFrame:
     """Gap of the mean path correlation of a return with the later absolute return; paths with a constant side are left out."""
-    if paths.horizon().get(SYNTHETIC, 0) < max(lags) + 10:
-        raise ValueError("the synthetic paths are too short")
+    _at_least(paths, max(lags) + 10)
     w = paths.window()
     x = paths.df.withColumns({f"_{f}_{k}": F.abs(F.lead(f, k).over(w)) for f in paths.features for k in lags})
     aggs = []
@@ -64,7 +68,9 @@ def cross_correlation(paths: Paths) -> DataFrame:
 
 
 def variance_term_structure(paths: Paths) -> DataFrame:
-    """Mean absolute log ratio over steps of the variance across paths of cumulative returns."""
+    """Mean absolute log ratio over steps of the variance across paths of cumulative returns; both sides must have as many steps."""
+    if len(set(paths.horizon().values())) > 1:
+        raise ValueError("the sides' horizons differ")
     w = paths.window().rowsBetween(Window.unboundedPreceding, 0)
     cum = paths.df.withColumns({f: F.sum(f).over(w) for f in paths.features})
     per = cum.groupBy("t").agg(*[F.var_pop(on(s, F.col(f))).alias(f"{s}|{f}") for s in (REAL, SYNTHETIC) for f in paths.features])
@@ -102,6 +108,7 @@ def long_memory(paths: Paths, lags: tuple[int, ...] = (20, 50, 100)) -> DataFram
 
 def time_reversal_asymmetry(paths: Paths, lags: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
     """Gap of corr(r_t, |r_t+k|) - corr(r_t+k, |r_t|), pooled."""
+    _at_least(paths, max(lags) + 2)
     w = paths.window()
     x = paths.df.withColumns({f"_{f}_{k}": F.lead(f, k).over(w) for f in paths.features for k in lags})
 
@@ -115,6 +122,7 @@ def time_reversal_asymmetry(paths: Paths, lags: tuple[int, ...] = (1, 2, 5)) ->
 
 def regime_persistence(paths: Paths, q: float = 0.8) -> DataFrame:
     """Relative gap of the mean length of runs above the side's own threshold of absolute returns."""
+    _at_least(paths, 5)
     w = paths.window()
     x = paths.df.join(F.broadcast(_thresholds(paths, q)), "side")
     x = x.withColumns({f: (F.abs(f) > F.col(f"_q_{f}")).cast("int") for f in paths.features})

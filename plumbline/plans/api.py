@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import partial
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,13 @@ CALIBRATION: dict[str, Metric] = {"pit_uniformity": calibration.pit_uniformity,
 
 
 def compute(name: str, metric: Metric, *args, n: int | None = None) -> Result:
+    """The result of one metric; what the input does not allow, or what Spark fails at, is an error result of its own."""
     try:
         got = {r["key"]: r["value"] for r in metric(*args).collect()}
-    except Exception as e:  # a metric's failure is its own result
-        return Result(name, float("inf"), error=str(e).splitlines()[0][:300] if str(e) else type(e).__name__)
+    except (ValueError, ArithmeticError, PySparkException, Py4JJavaError) as e:
+        return Result(name, float("inf"), error=f"{type(e).__name__}: {(str(e).splitlines() or [''])[0][:300]}")
+    if got.get("overall") is None:
+        return Result(name, float("inf"), {k: v for k, v in got.items() if v is not None}, error="too little input for an overall value", effective_n=n)
     return Result(name, got.pop("overall", None), {k: v for k, v in got.items() if v is not None}, effective_n=n)
 
 
@@ -80,29 +85,44 @@ def validate_conditional(fc: Forecast) -> Report:
     out: dict[str, Result] = {}
     for axis in axes:
         r = compute(f"conditional_sensitivity@{axis}", partial(conditional.conditional_sensitivity, axis=axis), fc)
-        r.applicable = bool(r.error) or r.value != float("inf")
+        r.applicable = r.value != float("inf")
         out[r.name] = r
-    fine = [r for r in out.values() if r.applicable and not r.error]
+    fine = [r for r in out.values() if r.applicable]
     head = max(fine, key=lambda r: r.value, default=None)
     ok = head is not None and (len(axes) < 2 or len(fine) >= 2)
-    out["conditional_sensitivity"] = Result("conditional_sensitivity", head.value if head else float("inf"), applicable=ok)
+    out["conditional_sensitivity"] = Result("conditional_sensitivity", head.value if head else float("inf"), applicable=ok, error="" if ok else f"only {len(fine)} of {len(axes)} axes can be measured")
     primary = "vol" if "vol" in axes else axes[0] if axes else ""
-    gap = compute("within_regime_calibration_gap", partial(conditional.within_regime_calibration_gap, axis=primary), fc)
-    gap.applicable = bool(gap.error) or gap.value != float("inf")
-    out["within_regime_calibration_gap"] = gap
+    # one run gives the gap and what each regime of the primary axis has
+    got = compute("within_regime_calibration_gap", lambda f: conditional.stratified_calibration(f, primary).withColumn("key", F.when(F.col("key") == "gap", "overall").otherwise(F.col("key"))), fc)
+    regimes = {k: v for k, v in got.details.items() if "@" in k}
+    got.details = {k: v for k, v in got.details.items() if k not in regimes}
+    got.applicable = got.value != float("inf")
+    out[got.name] = got
+    out |= {k: Result(k, v) for k, v in sorted(regimes.items())}
     return Report(out, {"conditional_sensitivity": 0.6, "within_regime_calibration_gap": 0.4})
 
 
-def validate_generative(panel: Flat | Paths, k: int = 5) -> Report:
-    """Coverage and plausibility deficits; not applicable where the real side is too small."""
+def validate_generative(panel: Flat | Paths, k: int = 5, baseline_block: int = 20, seed: int = 42) -> Report:
+    """Coverage and plausibility deficits, with those of a bootstrap replay of the real side (blocks of `baseline_block` steps for paths, single rows else) and the deltas against it; not applicable where the real side is too small."""
     if isinstance(panel, Paths):
-        n, dims = panel.df.where(F.col("side") == REAL).select("path").distinct().count(), 4 * len(panel.features)
+        count, dims = (lambda s: panel.df.where(F.col("side") == s).select("path").distinct().count()), 4 * len(panel.features)
     else:
-        n, dims = panel.df.where(F.col("side") == REAL).count(), len(panel.features)
-    names = {"coverage_deficit": generative.coverage_deficit, "plausibility_deficit": generative.plausibility_deficit}
+        count, dims = (lambda s: panel.df.where(F.col("side") == s).count()), len(panel.features)
+    n = count(REAL)
+    names = {"coverage_deficit": "coverage", "plausibility_deficit": "density"}
     if not generative.enough_reference(n, dims, k):
         return Report({m: Result(m, float("inf"), applicable=False, error="too few real points") for m in names}, {})
-    out = {m: compute(m, partial(f, k=k), panel, n=n) for m, f in names.items()}
+    real = panel.df.where(F.col("side") == REAL)
+    replay = real.unionByName(baselines.baseline("block_bootstrap", panel, count(SYNTHETIC), seed, baseline_block), allowMissingColumns=True)
+    other = Paths(replay, panel.features) if isinstance(panel, Paths) else Flat(replay, panel.features, panel.order)
+    got, base = (compute("coverage_deficit", partial(generative.density_coverage, k=k), x, n=n) for x in (panel, other))
+    out = {}
+    for m, key in names.items():
+        value, replayed = (max(1 - r.details[key], 0.0) if key in r.details else float("inf") for r in (got, base))
+        details = {f"{p}{c}": r.details[c] for p, r in (("", got), ("bootstrap_", base)) for c in ("density", "coverage") if c in r.details}
+        if float("inf") not in (value, replayed):
+            details[f"{m}_vs_bootstrap"] = value - replayed
+        out[m] = Result(m, value, details, error=got.error, effective_n=n)
     return Report(out, {"coverage_deficit": 0.5, "plausibility_deficit": 0.5})
 
 
@@ -143,3 +163,33 @@ def random_split_floor(panel: Flat, metrics: str | Iterable[str] = "all", seed:
     real = panel.df.where(F.col("side") == REAL)
     halves = real.withColumn("side", F.when(uniform(seed, *panel.order) < 0.5, REAL).otherwise(SYNTHETIC))
     return {m: r.value for m, r in validate(Flat(halves, panel.features, panel.order), metrics).metrics.items()}
+
+
+def calibration_levels(returns: Flat, horizon: int = 20, seed: int = 0, metrics: str | Iterable[str] = "all") -> dict[str, dict[str, float]]:
+    """What every metric gives at its floor, between two random halves of the real side, and for a Gaussian of its moments: `floor` and `gaussian` by metric.
+
+    Flat metrics on rows; path and generative ones on overlapping windows of `horizon` steps, a quarter of it apart, if there are at least 40."""
+    from ..functions.stats import uniform
+
+    real = Flat(returns.finite().where(F.col("side") == REAL), returns.features, returns.order)
+    halves = lambda df, *by: df.withColumn("side", F.when(uniform(seed, *by) < 0.5, REAL).otherwise(SYNTHETIC))
+    split = Flat(halves(real.df, *real.order), real.features, real.order)
+    half = split.df.where(F.col("side") == REAL)
+    gaussian = baselines.baseline("gaussian", real, half.count(), seed)
+    floor = dict(validate(split, metrics).metrics)
+    bad = dict(validate(Flat(half.unionByName(gaussian, allowMissingColumns=True), real.features, real.order), metrics).metrics)
+    n = real.df.count()
+    stride = max(1, horizon // 4)
+    windows = max(0, -(-(n - horizon) // stride))
+    if windows >= 40:
+        idx = F.col("idx")
+        first = F.greatest(F.ceil((idx - horizon + 1) / stride), F.lit(0))
+        last = F.least(F.floor(idx / stride), F.lit(windows - 1))
+        steps = baselines.numbered(real.df.select(*dict.fromkeys([*real.order, *real.features])), real.order).where(first <= last)
+        steps = steps.select("idx", *real.features, F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("path"))
+        steps = steps.select(F.lit(REAL).alias("side"), "path", (idx - F.col("path") * stride).cast("int").alias("t"), *real.features)
+        whole, parted = Paths(steps, real.features), Paths(halves(steps, "path"), real.features)
+        other = Paths(steps.unionByName(baselines.baseline("gaussian", whole, windows, seed)), real.features)
+        for out, panel in ((floor, parted), (bad, other)):
+            out |= validate_paths(panel, metrics, include_flat=False).metrics | validate_generative(panel).metrics
+    return {m: {"floor": floor[m].value, "gaussian": bad[m].value} for m in floor if m in bad}

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import baselines, calibration, conditional, dependence, generative, joint, marginal, temporal
 from ..sources import panels as p
-from .api import FLAT
-from .scoring import LENS_SCORED, LENS_WEIGHTS, absolute_weights, grade_column, score_column, thresholds_of
+from . import api
+from .scoring import LENS_SCORED, FullReport, Result
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,57 +70,51 @@ def _ci(block: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fc = p.part_forecasts(spark, sf_dir)
         df = fc.actuals.select(F.when(F.col("obs") % 2 == 0, p.REAL).otherwise(p.SYNTHETIC).alias("side"), "obs", "price")
-        x = baselines.bootstrap_ci(df, ("obs",), _mean_gap, replicates=50, block=block)
+        x = baselines.bootstrap_ci(df, ("obs",), _mean_gap, replicates=200, block=block)
         return x.select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n")
 
     return run
 
 
-#: The four metrics of scores_and_grades, validate_report and lens_report, whose SQL is made from this list; the _all queries score every one.
-REPORTED = ("marginal_ks", "tail_quantiles", "pearson_corr", "covariance_calibration")
+def _shown(spark: SparkSession, metrics: Iterable[Result]) -> DataFrame:
+    """The results of a report as rows."""
+    cells = [(r.name, r.value if math.isfinite(r.value) else None, r.score, r.quality) for r in metrics]
+    return spark.createDataFrame(cells, "metric string, value double, score double, quality string").select("metric", F.round("value", 6).alias("value"), F.round("score", 5).alias("score"), "quality")
 
 
-#: What `validate` runs (api.FLAT); the p-value of c2st is in no report, so its permutations are not run.
-FLAT_REPORTED = tuple(FLAT)
+def _validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(spark, api.validate(p.lineitem_flat(spark, sf_dir)).metrics.values())
 
 
-def _metrics(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
-    """Every metric that a report scores, on its canonical panel; the sensitivity is that of the worst axis, as in `validate_conditional`."""
-    flat, paths, fc, points = (f(spark, sf_dir) for f in (p.lineitem_flat, p.supplier_paths, p.part_forecasts, p.embedding_points))
-    on = {n: (m, flat) for n, m in FLAT.items()} | {n: (m, paths) for n, m in P_METRICS.items()} | {n: (m, fc) for n, m in C_METRICS.items()}
-    on |= {"c2st": (partial(joint.c2st, n_perm=0), flat), "coverage_90": (partial(calibration.coverage, level=0.9), fc), "conditional_sensitivity": (conditional.multi_axis_sensitivity, fc)}
-    on |= {"coverage_deficit": (generative.coverage_deficit, points), "plausibility_deficit": (generative.plausibility_deficit, points)}
-    return {n: partial(m, panel) for n, (m, panel) in on.items()}
+def _validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = api.validate(p.lineitem_flat(spark, sf_dir))
+    return spark.createDataFrame([(r.overall_score, r.overall_quality, r.pass_rate)], "x double, overall_quality string, p double").select(F.round("x", 5).alias("overall_score"), "overall_quality", F.round("p", 6).alias("pass_rate"))
+
 
+def _validate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(spark, api.validate_paths(p.supplier_paths(spark, sf_dir), include_flat=False).metrics.values())
 
-def _values(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> DataFrame:
-    """Each metric is a job of its own, as in the entry points: one plan of them all is planned for minutes."""
-    of, out = _metrics(spark, sf_dir), None
-    for m in names:
-        value = of[m]().where("key = 'overall'").head()["value"]
-        one = spark.createDataFrame([(value,)], "value double").select(F.lit(m).alias("metric"), "value", score_column(F.col("value"), thresholds_of(m)).alias("score"), grade_column(F.col("value"), thresholds_of(m)).alias("quality"))
-        out = one if out is None else out.unionByName(one)
-    return out
 
+def _validate_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(spark, api.validate_calibration(p.part_forecasts(spark, sf_dir)).metrics.values())
 
-def _scores(names: Iterable[str], spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, sf_dir, names).select("metric", F.round("value", 6).alias("value"), F.round("score", 5).alias("score"), "quality")
 
+def _validate_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(spark, api.validate_conditional(p.part_forecasts(spark, sf_dir)).metrics.values())
 
-def _report(names: Iterable[str], spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = absolute_weights()
-    weight = F.create_map(*[F.lit(x) for m in names for x in (m, w.get(m, 0.0))])[F.col("metric")]
-    x = _values(spark, sf_dir, names)
-    return x.agg(F.round(F.sum(F.col("score") * weight) / F.sum(weight), 5).alias("overall_score"), F.round(F.avg((F.col("quality") != "poor").cast("double")), 6).alias("pass_rate"))
 
+def _validate_generative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(spark, api.validate_generative(p.embedding_points(spark, sf_dir)).metrics.values())
 
-def _lenses(names: Iterable[str], spark: SparkSession, sf_dir: str) -> DataFrame:
-    lens = F.create_map(*[F.lit(x) for m in names for x in (m, LENS_SCORED[m][0])])[F.col("metric")]
-    weight = F.create_map(*[F.lit(x) for m in names for x in (m, LENS_SCORED[m][1])])[F.col("metric")]
-    per = _values(spark, sf_dir, names).select(lens.alias("lens"), weight.alias("w"), "score").groupBy("lens").agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("score"))
-    of = F.create_map(*[F.lit(x) for k, v in LENS_WEIGHTS.items() for x in (k, v)])[F.col("lens")]
-    total = per.agg((F.sum(of * F.col("score")) / F.sum(of)).alias("score")).select(F.lit("overall").alias("lens"), "score")
-    return per.unionByName(total).select("lens", F.round("score", 5).alias("score"))
+
+def _lens_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric that a lens scores, on its canonical panel; the sensitivity is that of the worst axis, as in `validate_conditional`."""
+    flat, paths, fc, points = (f(spark, sf_dir) for f in (p.lineitem_flat, p.supplier_paths, p.part_forecasts, p.embedding_points))
+    on = {n: (m, flat) for n, m in api.FLAT.items()} | {n: (m, paths) for n, m in P_METRICS.items()} | {n: (m, fc) for n, m in (C_METRICS | api.CALIBRATION).items()}
+    on |= {"conditional_sensitivity": (conditional.multi_axis_sensitivity, fc), "coverage_deficit": (generative.coverage_deficit, points), "plausibility_deficit": (generative.plausibility_deficit, points)}
+    r = FullReport({n: api.compute(n, *on[n]) for n in LENS_SCORED})
+    cells = [*r.per_lens.items(), ("overall", r.overall_score)]
+    return spark.createDataFrame(cells, "lens string, x double").select("lens", F.round("x", 5).alias("score"))
 
 
 QUERIES: dict[str, Query] = (
@@ -131,6 +125,7 @@ QUERIES: dict[str, Query] = (
     | {"c2st": _on(p.lineitem_flat, joint.c2st, seed=None, n_perm=0)}
     | {n: _on(p.embedding_points, m) for n, m in {"density_coverage": generative.density_coverage, "coverage_deficit": generative.coverage_deficit, "plausibility_deficit": generative.plausibility_deficit}.items()}
     | {"path_features": _path_features, "subwindow": _subwindow, "historical_bootstrap": _historical, "block_bootstrap": _block, "gaussian_baseline": _gaussian, "iid_bootstrap_ci": _ci(1), "block_bootstrap_ci": _ci(20),
-       "scores_and_grades": partial(_scores, REPORTED), "validate_report": partial(_report, REPORTED), "lens_report": partial(_lenses, REPORTED),
-       "scores_and_grades_all": partial(_scores, FLAT_REPORTED), "validate_report_all": partial(_report, FLAT_REPORTED), "lens_report_all": partial(_lenses, tuple(LENS_SCORED))}
+       "marginal_ks_p_values": _on(p.lineitem_flat, marginal.marginal_ks_p_values),
+       "validate": _validate, "validate_report": _validate_report, "validate_paths": _validate_paths, "validate_calibration": _validate_calibration, "validate_conditional": _validate_conditional,
+       "validate_generative": _validate_generative, "lens_report": _lens_report}
 )

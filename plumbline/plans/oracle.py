@@ -298,7 +298,7 @@ def _ci(block: int) -> str:
     sides = []
     for side, odd in (("real", 0), ("synthetic", 1)):
         sides.append(f"""b_{side} AS (SELECT row_number() OVER (ORDER BY obs) - 1 AS idx, price FROM actuals WHERE obs % 2 = {odd}), n_{side} AS (SELECT count(*) AS n FROM b_{side}),
-m_{side} AS (SELECT rep, avg(price) AS m FROM (SELECT rep, floor({_hash(f"'42|{side}|' || rep || '|' || j")} * greatest(n - {block} + 1, 1))::BIGINT + k AS idx FROM n_{side}, range(50) t(rep), range(100000) u(j), range({block}) v(k) WHERE j < ceil(n / {block}.0) AND j * {block} + k < n) JOIN b_{side} USING (idx) GROUP BY rep)""")
+m_{side} AS (SELECT rep, avg(price) AS m FROM (SELECT rep, floor({_hash(f"'42|{side}|' || rep || '|' || j")} * greatest(n - {block} + 1, 1))::BIGINT + k AS idx FROM n_{side}, range(200) t(rep), range(100000) u(j), range({block}) v(k) WHERE j < ceil(n / {block}.0) AND j * {block} + k < n) JOIN b_{side} USING (idx) GROUP BY rep)""")
     return f"WITH {FORE}, {', '.join(sides)} SELECT round(quantile_cont(abs(s.m - r.m), 0.025), 4) AS low, round(quantile_cont(abs(s.m - r.m), 0.975), 4) AS high, count(*) AS n FROM m_real r JOIN m_synthetic s USING (rep)"
 
 
@@ -331,6 +331,9 @@ SELECT a.side, a.path, round(a.cum, 6) AS cum_price, round(b.cum, 6) AS cum_quan
     "historical_bootstrap": HISTORICAL, "block_bootstrap": BLOCK, "gaussian_baseline": GAUSS, "iid_bootstrap_ci": _ci(1), "block_bootstrap_ci": _ci(20),
 }
 
+ORACLE["marginal_ks_p_values"] = final(_ks(LONG, "long"), """SELECT key, CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(list_sum([CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * j * j * x * x) FOR j IN range(1, 101)]), 0), 1) END AS value
+FROM (SELECT feature AS key, max(abs(fa - fb)) * any_value(sqrt(na * nb / (na + nb))) AS x FROM kr JOIN (SELECT feature, count(*) FILTER (side = 'real')::DOUBLE AS na, count(*) FILTER (side = 'synthetic')::DOUBLE AS nb FROM long GROUP BY feature) USING (feature) GROUP BY feature)""", "SELECT 'overall', min(value) FROM r")
+
 _VALUE = "(SELECT value FROM ({sql}) WHERE key = 'overall')"
 
 
@@ -339,31 +342,6 @@ def _unrounded(m: str) -> str:
     return ORACLE[m].replace("round(value, 6) AS value", "value")
 
 
-def _reported() -> str:
-    from .catalogue import REPORTED
-    from .scoring import LENS_SCORED, absolute_weights, thresholds_of
-
-    w, out = absolute_weights(), []
-    for m in REPORTED:
-        e, g, a = thresholds_of(m)
-        out.append(f"SELECT '{m}' AS metric, {_VALUE.format(sql=_unrounded(m))} AS value, {e} AS e, {g} AS g, {a} AS a, {w[m]} AS w, '{LENS_SCORED[m][0]}' AS lens, {LENS_SCORED[m][1]} AS lw")
-    return "v AS (" + " UNION ALL ".join(out) + """), s AS (SELECT *, CASE WHEN value <= e THEN 1 - 0.1 * value / e WHEN value <= g THEN 0.9 - 0.2 * (value - e) / (g - e) WHEN value <= a THEN 0.7 - 0.2 * (value - g) / (a - g) ELSE 0.5 * exp(-(value - a) / (a - e)) END AS score,
-CASE WHEN value < e THEN 'excellent' WHEN value < g THEN 'good' WHEN value < a THEN 'acceptable' ELSE 'poor' END AS quality FROM v)"""
-
-
-def _with_reports() -> None:
-    from .scoring import LENS_WEIGHTS
-
-    base = _reported()
-    lens = "CASE lens " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LENS_WEIGHTS.items()) + " END"
-    ORACLE["scores_and_grades"] = f"WITH {base} SELECT metric, round(value, 6) AS value, round(score, 5) AS score, quality FROM s"
-    ORACLE["validate_report"] = f"WITH {base} SELECT round(sum(score * w) / sum(w), 5) AS overall_score, round(avg((quality <> 'poor')::INT), 6) AS pass_rate FROM s"
-    ORACLE["lens_report"] = f"WITH {base}, l AS (SELECT lens, sum(lw * score) / sum(lw) AS score FROM s GROUP BY lens) SELECT lens, round(score, 5) AS score FROM (SELECT lens, score FROM l UNION ALL SELECT 'overall', sum({lens} * score) / sum({lens}) FROM l)"
-
-
-_with_reports()
-
-
 def _seeded_c2st() -> str:
     """c2st on the rows of least hash by seed 0, as the operator takes them unless told otherwise."""
     columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -371,27 +349,37 @@ def _seeded_c2st() -> str:
     return _unrounded("c2st").replace("ORDER BY l_orderkey", f"ORDER BY {_hash(parts)}, l_orderkey")
 
 
-def _with_whole_reports() -> None:
-    """The reports over every metric: their own statements, beside those of the four."""
-    from .catalogue import FLAT_REPORTED
+def _with_reports() -> None:
+    """The entry points' reports: every metric by its own statement, scored and graded."""
+    from .api import CALIBRATION, FLAT, PATH
     from .scoring import LENS_SCORED, LENS_WEIGHTS, absolute_weights, thresholds_of
 
     w, own = absolute_weights(), {"c2st": _seeded_c2st(), "conditional_sensitivity": _unrounded("multi_axis_sensitivity")}
 
-    def scored(names) -> str:
+    def scored(values: dict[str, str]) -> str:
         out = []
-        for m in names:
+        for m, value in values.items():
             e, g, a = thresholds_of(m)
             lens, lw = LENS_SCORED.get(m, ("", 0.0))
-            out.append(f"SELECT '{m}' AS metric, {_VALUE.format(sql=own.get(m) or _unrounded(m))}::DOUBLE AS value, {e}::DOUBLE AS e, {g}::DOUBLE AS g, {a}::DOUBLE AS a, {w.get(m, 0.0)}::DOUBLE AS w, '{lens}' AS lens, {lw}::DOUBLE AS lw")
+            out.append(f"SELECT '{m}' AS metric, {value}::DOUBLE AS value, {e}::DOUBLE AS e, {g}::DOUBLE AS g, {a}::DOUBLE AS a, {w.get(m, 0.0)}::DOUBLE AS w, '{lens}' AS lens, {lw}::DOUBLE AS lw")
         return "v AS MATERIALIZED (" + " UNION ALL ".join(out) + """), s AS (SELECT *, CASE WHEN value IS NULL OR NOT isfinite(value) THEN 0 WHEN value <= e THEN 1 - 0.1 * greatest(value, 0) / e WHEN value <= g THEN 0.9 - 0.2 * (value - e) / (g - e) WHEN value <= a THEN 0.7 - 0.2 * (value - g) / (a - g) ELSE 0.5 * exp(-(value - a) / (a - e)) END AS score,
 CASE WHEN value IS NULL OR NOT isfinite(value) THEN 'poor' WHEN value < e THEN 'excellent' WHEN value < g THEN 'good' WHEN value < a THEN 'acceptable' ELSE 'poor' END AS quality FROM v)"""
 
-    flat = scored(FLAT_REPORTED)
+    def of(names) -> dict[str, str]:
+        return {m: _VALUE.format(sql=own.get(m) or _unrounded(m)) for m in names}
+
+    shown = "SELECT metric, round(value, 6) AS value, round(score, 5) AS score, quality FROM s"
+    ORACLE["validate"] = f"WITH {scored(of(FLAT))} {shown}"
+    ORACLE["validate_report"] = f"WITH {scored(of(FLAT))}, o AS (SELECT sum(score * w) / sum(w) AS x, avg((quality <> 'poor')::INT) AS p FROM s) SELECT round(x, 5) AS overall_score, CASE WHEN x >= 0.85 THEN 'excellent' WHEN x >= 0.65 THEN 'good' WHEN x >= 0.45 THEN 'acceptable' ELSE 'poor' END AS overall_quality, round(p, 6) AS pass_rate FROM o"
+    ORACLE["validate_paths"] = f"WITH {scored(of(PATH))} {shown}"
+    ORACLE["validate_calibration"] = f"WITH {scored(of(CALIBRATION))} {shown}"
+    ORACLE["validate_generative"] = f"WITH {scored(of(('coverage_deficit', 'plausibility_deficit')))} {shown}"
+    at = lambda m, key: f"(SELECT value FROM ({_unrounded(m)}) WHERE key = '{key}')"
+    conditional = {f"conditional_sensitivity@{x}": at("multi_axis_sensitivity", f"conditional_sensitivity@{x}") for x in ("trend", "vol")} | of(("conditional_sensitivity", "within_regime_calibration_gap"))
+    conditional |= {f"{m}@{r}": at("stratified_calibration", f"{m}@{r}") for m in ("crps", "pit_uniformity", "coverage_90") for r in ("low", "mid", "high")}
+    ORACLE["validate_conditional"] = f"WITH {scored(conditional)} {shown}"
     lens = "CASE lens " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LENS_WEIGHTS.items()) + " END"
-    ORACLE["scores_and_grades_all"] = f"WITH {flat} SELECT metric, round(value, 6) AS value, round(score, 5) AS score, quality FROM s"
-    ORACLE["validate_report_all"] = f"WITH {flat} SELECT round(sum(score * w) / sum(w), 5) AS overall_score, round(avg((quality <> 'poor')::INT), 6) AS pass_rate FROM s"
-    ORACLE["lens_report_all"] = f"WITH {scored(LENS_SCORED)}, l AS (SELECT lens, sum(lw * score) / sum(lw) AS score FROM s GROUP BY lens) SELECT lens, round(score, 5) AS score FROM (SELECT lens, score FROM l UNION ALL SELECT 'overall', sum({lens} * score) / sum({lens}) FROM l)"
+    ORACLE["lens_report"] = f"WITH {scored(of(LENS_SCORED))}, l AS (SELECT lens, sum(lw * score) / sum(lw) AS score FROM s GROUP BY lens) SELECT lens, round(score, 5) AS score FROM (SELECT lens, score FROM l UNION ALL SELECT 'overall', sum({lens} * score) / sum({lens}) FROM l)"
 
 
-_with_whole_reports()
+_with_reports()

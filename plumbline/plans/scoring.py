@@ -81,6 +81,21 @@ LENS_SCORED: dict[str, tuple[str, float]] = {
 HARD_GATES = ("memorization", "tail_quantiles", "tail_dependence_lower", "drawdown_distribution", "conditional_sensitivity", "c2st", "coverage_deficit")
 
 
+# Category of the metrics without a weight.
+OTHER_CATEGORIES = {
+    "distribution": ("tail_heaviness", "far_tail_quantiles", "marginal_skew", "hill_tail_index", "aggregational_gaussianity", "conditional_heavy_tails"), "dependence": ("coskewness", "variogram_score"),
+    "temporal": ("variance_term_structure", "extreme_clustering", "long_memory", "time_reversal_asymmetry", "regime_persistence"), "joint": ("c2st", "signature_distance"),
+    "generative": ("coverage_deficit", "plausibility_deficit"), "regime_sensitivity": ("conditional_sensitivity", "within_regime_calibration_gap"),
+}
+
+
+def category_of(name: str) -> str:
+    """A metric's category; one within a regime (name@regime) is of regime sensitivity."""
+    if "@" in name:
+        return "regime_sensitivity"
+    return WEIGHTS_IN_CATEGORY[name][0] if name in WEIGHTS_IN_CATEGORY else next((c for c, of in OTHER_CATEGORIES.items() if name in of), "other")
+
+
 def absolute_weights() -> dict[str, float]:
     return {m: round(CATEGORY_WEIGHTS[c] * w, 4) for m, (c, w) in WEIGHTS_IN_CATEGORY.items()}
 
@@ -133,6 +148,8 @@ class Result:
     applicable: bool = True
     error: str = ""
     effective_n: int | None = None
+    ci_low: float | None = None
+    ci_high: float | None = None
 
     def __post_init__(self) -> None:
         self.value = math.inf if self.value is None or not math.isfinite(self.value) else float(self.value)
@@ -141,6 +158,17 @@ class Result:
     def quality(self) -> str:
         return "acceptable" if not self.applicable else grade(self.value, thresholds_of(self.name))
 
+    @property
+    def category(self) -> str:
+        return category_of(self.name)
+
+    @property
+    def interpretation(self) -> str:
+        if self.error or not math.isfinite(self.value):
+            return f"{self.name} could not be had: {self.error or 'no finite value'}"
+        e, g, a = thresholds_of(self.name)
+        return f"{self.name} {self.value:.4g} is {self.quality} (excellent under {e:g}, good under {g:g}, acceptable under {a:g})"
+
     @property
     def passed(self) -> bool:
         return self.quality != "poor"
@@ -151,7 +179,7 @@ class Result:
 
     def to_dict(self) -> dict[str, Any]:
         clean = lambda v: v if v is not None and math.isfinite(v) else None
-        return {"name": self.name, "value": clean(self.value), "quality": self.quality, "passed": self.passed, "score": self.score, "applicable": self.applicable, "error": self.error, "effective_n": self.effective_n, "details": {k: clean(v) for k, v in self.details.items()}}
+        return {"name": self.name, "value": clean(self.value), "quality": self.quality, "passed": self.passed, "score": self.score, "applicable": self.applicable, "error": self.error, "effective_n": self.effective_n, "category": self.category, "thresholds": dict(zip(("excellent", "good", "acceptable"), thresholds_of(self.name), strict=True)), "interpretation": self.interpretation, "ci_low": clean(self.ci_low), "ci_high": clean(self.ci_high), "details": {k: clean(v) for k, v in self.details.items()}}
 
 
 def overall_grade(x: float) -> str:
