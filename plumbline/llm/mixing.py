@@ -10,14 +10,16 @@ parent's siblings only where all of its children are full.
 
 Each leaf then takes whole epochs and, of the last one, a prefix: documents in
 the order of a hash of seed, epoch and id as long as their tokens fit. The prefix
-is found through sums of hash buckets; only documents of the one bucket in which it
-ends are sorted, so a leaf with a third of all rows is no single task's.
+is found through sums of hash buckets, as many as the largest leaf needs for buckets of
+`BUCKET_ROWS`; only documents of the one bucket in which it
+ends are sorted, so a leaf with a third of all rows is no single task's. Budgets are dealt in whole tokens: what a
+division leaves over, less than one token a child at each level, is not dealt.
 
 Defined results: a token is a run of `[^\\x20\\x09-\\x0D]+`; null texts have none and are
 taken where they fall inside the prefix; null language or source reads as '';
 weights are whole numbers above 0, 1 where not given; of equal hashes the smaller id and text
-digest comes first; repeated rows each count; no documents give no rows; other
-columns are carried, and new ones that clash take a leading underscore.
+digest comes first; repeated rows each count; very long texts are counted whole; no documents give no rows; other
+columns, whatever their names, are carried, and new ones that clash take a leading underscore.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .shared import carried, cut, own, small
 
-#: Hex digits of the hash that name a bucket.
-DIGITS = 3
+#: Rows that a leaf's last bucket should hold; the number of buckets follows from the largest leaf.
+BUCKET_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -110,8 +112,11 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None, domain: Column | None =
     tie = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     leaf = [f"{p}d", f"{p}l", f"{p}s"]
     narrow = cut(keyed.select(F.col("doc_id").alias(f"{p}i"), *leaf, F.col(names["n_tokens"]).alias("n")))
-    leaves = narrow.groupBy(*[F.col(c).alias(a) for c, a in zip(leaf, ("domain", "lang", "source"), strict=True)]).agg(F.sum("n").alias("tokens"))
-    plan = budgets(cut(leaves), mix)
+    leaves = cut(narrow.groupBy(*[F.col(c).alias(a) for c, a in zip(leaf, ("domain", "lang", "source"), strict=True)]).agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")))
+    most, digits = leaves.agg(F.max("rows")).head()[0] or 0, 1  # hex digits of the hash that name a bucket
+    while most > BUCKET_ROWS * 16**digits:
+        digits += 1
+    plan = budgets(leaves.drop("rows"), mix)
     plan = cut(plan.select(*[F.col(a).alias(f"{p}{a}") for a in ("domain", "lang", "source")], F.when(F.col("tokens") > 0, F.expr("given div greatest(tokens, 1)")).otherwise(0).alias(f"{p}epoch"), F.when(F.col("tokens") > 0, F.expr("given % greatest(tokens, 1)")).otherwise(0).alias(f"{p}rest")))
     n = plan.count()
 
@@ -122,12 +127,12 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None, domain: Column | None =
     def hashed(ident: str) -> Column:
         return F.md5(F.concat(F.lit(f"{mix.seed}|"), F.col(f"{p}epoch").cast("string"), F.lit("|"), F.coalesce(F.col(ident).cast("string"), F.lit(""))).cast("binary"))
 
-    sums = planned(narrow, plan).groupBy(*leaf, f"{p}rest", F.substring(hashed(f"{p}i"), 1, DIGITS).alias("b")).agg(F.sum("n").alias("n"))
+    sums = planned(narrow, plan).groupBy(*leaf, f"{p}rest", F.substring(hashed(f"{p}i"), 1, digits).alias("b")).agg(F.sum("n").alias("n"))
     run = sums.withColumn("to", F.sum("n").over(Window.partitionBy(*leaf).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
     ends = run.where(F.col("to") > F.col(f"{p}rest")).groupBy(*leaf).agg(F.min("b").alias(f"{p}end"), F.min_by(F.col(f"{p}rest") - F.col("to") + F.col("n"), "b").alias(f"{p}room"))
     plan = plan.join(ends, [plan[f"{p}{a}"] == ends[c] for c, a in zip(leaf, ("domain", "lang", "source"), strict=True)], "left").drop(*leaf)
     rows = planned(keyed, cut(plan)).withColumn(f"{p}h", hashed("doc_id"))
-    bucket, end = F.substring(f"{p}h", 1, DIGITS), F.coalesce(F.col(f"{p}end"), F.lit("g"))  # g: after all buckets
+    bucket, end = F.substring(f"{p}h", 1, digits), F.coalesce(F.col(f"{p}end"), F.lit("g"))  # g: after all buckets
     whole = rows.where(bucket != end).withColumn(names["copies"], F.col(f"{p}epoch") + (bucket < end).cast("int"))
     order = Window.partitionBy(*leaf).orderBy(f"{p}h", "doc_id", tie).rowsBetween(Window.unboundedPreceding, 0)
     last = rows.where(bucket == end).withColumn(names["copies"], F.col(f"{p}epoch") + (F.sum(names["n_tokens"]).over(order) <= F.col(f"{p}room")).cast("int"))

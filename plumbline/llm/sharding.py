@@ -16,7 +16,7 @@ rows only into itself.
 
 Defined results: null text has size 1 and the MD5 and CRC of no bytes; null ids come
 first among equal texts; repeated rows take consecutive slots; empty tables give
-no rows; all columns are carried, and new ones that clash take a leading
+no rows; very long texts are placed whole; all columns, whatever their names and kinds, are carried, and new ones that clash take a leading
 underscore. Nothing is gathered but the boundaries and the sums of ranges, whose
 number is bounded by `MAX_RANGES`.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import carried, cut, own, row_hash, utf8_size
 
 SHARDS = 16
-#: Rows that a range should hold, and ranges at most.
+#: Rows that a range should hold, and ranges at most: their boundaries are literals of the plan. Beyond MAX_RANGES x RANGE_ROWS rows, ranges grow in proportion.
 RANGE_ROWS, MAX_RANGES = 20_000, 16_384
 #: Sampled keys per range.
 OVERSAMPLE = 16

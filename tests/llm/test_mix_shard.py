@@ -71,6 +71,14 @@ def test_mix_against_sql(spark, sf, documents):
     assert got == sorted(con.sql(mixing.ORACLE_SQL).fetchall())
 
 
+def test_buckets_of_any_number_give_the_same(spark, documents, monkeypatch):
+    rows = [tuple(r) for r in documents.select("doc_id", "text", "lang", "source").collect()]
+    for most in (1, 3):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", most)
+        got = sorted(((r["doc_id"], r["domain"], r["n_tokens"], r["copies"]) for r in mixing.mix_sources(documents).collect()), key=str)
+        assert got == brute_mix(rows, mixing.Mix())
+
+
 def test_mix_edges(clashing, none):
     out = mixing.take(clashing)
     assert out.columns == clashing.columns
