@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,7 +48,7 @@ class Settings:
     bands: int = 28
     rows: int = 4
     agree: int = 64  # of the slots
-    block: int = 512  # classes compared at once
+    block: int = 256  # classes compared at once
 
     @property
     def slots(self) -> int:
@@ -206,24 +205,58 @@ def _unpack(raw: bytes) -> np.ndarray:
 _CLASS = "key long, i int, j int, own int, id long, set_hash binary, part long, low binary, bands array<long>"
 
 
-class _Block:
-    """The classes of a pair of blocks of one bucket, by id."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The runs of rows with equal first columns, whole, from batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in range(keys)], axis=1)
+        starts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            name = tuple(k[lo].tolist())
+            if name != last and held:
+                yield pa.concat_batches(held)
+                held = []
+            last = name
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.concat_batches(held)
 
-    def __init__(self, pdf: pd.DataFrame, settings: Settings) -> None:
-        self.pdf = pdf = pdf.sort_values(["id", "set_hash"])
-        self.settings, self.ids, self.own = settings, pdf["id"].to_numpy(), pdf["own"].to_numpy()
-        self.low = np.stack([np.frombuffer(x, np.uint8) for x in pdf["low"]])
-        self.bands = np.stack(list(pdf["bands"])).astype(np.int64)
-        self.here = int(np.flatnonzero(self.bands[0] == pdf["key"].iloc[0])[0])
-        self.one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        _, self.part = np.unique(pdf["part"].to_numpy(), return_inverse=True)
 
-    def partners(self, x: int) -> np.ndarray:
-        """Later classes of other components whose slots agree far enough and that share no earlier band, so that a pair is looked at once."""
-        y = np.arange(x + 1, len(self.ids))
-        y = y[(self.part[y] != self.part[x]) & (self.one | (self.own[y] != self.own[x]))]
-        y = y[(self.low[y] == self.low[x]).sum(axis=1) >= self.settings.agree]
-        return y[~(self.bands[y, : self.here] == self.bands[x, : self.here]).any(axis=1)]
+class _Block:
+    """The classes of a pair of blocks of one bucket, in the order of id and set_hash."""
+
+    def __init__(self, rows: pa.RecordBatch, settings: Settings) -> None:
+        self.settings, self.n = settings, len(rows)
+        key, i, j, self.own, self.ids = (rows.column(c).to_numpy() for c in range(5))
+        self.low = w.flat(rows.column(7))[0].reshape(self.n, settings.slots)
+        bands = rows.column(8).flatten().to_numpy().reshape(self.n, settings.bands)
+        here = int(np.flatnonzero(bands[0] == key[0])[0])
+        self.before, self.one = bands[:, :here], i[0] == j[0]
+        _, self.part = np.unique(rows.column(6).to_numpy(), return_inverse=True)
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each class with the later classes of other components whose slots agree far enough and that share no earlier band, so that a pair is looked at once."""
+        for lo in range(0, self.n, 32):
+            at = np.arange(lo, min(self.n, lo + 32))
+            ok = (self.part[at, None] != self.part[None]) & (np.arange(self.n)[None] > at[:, None])
+            if not self.one:
+                ok &= self.own[at, None] != self.own[None]
+            if ok.any():
+                ok &= (self.low[at, None] == self.low[None]).sum(axis=2, dtype=np.int16) >= self.settings.agree
+            if ok.any():
+                x, y = np.nonzero(ok)
+                ok[x, y] = ~(self.before[at[x]] == self.before[y]).any(axis=1)
+                for k in np.flatnonzero(ok.any(axis=1)).tolist():
+                    yield int(at[k]), np.flatnonzero(ok[k])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows by pairs of blocks, each pair's together and in order. Not fewer partitions for few bytes: comparing takes time, not space."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id", "set_hash")
 
 
 def _candidates(members: DataFrame, settings: Settings) -> DataFrame:
@@ -237,15 +270,16 @@ def _candidates(members: DataFrame, settings: Settings) -> DataFrame:
     dealt = members.withColumn("own", own_block).select("key", *rest, "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        of, found = _Block(pdf, settings), np.zeros(len(pdf), bool)
-        for x in range(len(pdf) - 1):
-            y = of.partners(x)
-            found[y] = True
-            found[x] |= bool(len(y))
-        return of.pdf[found]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            found = np.zeros(len(rows), bool)
+            for x, y in _Block(rows, settings).partners():
+                found[x] = True
+                found[y] = True
+            if found.any():
+                yield rows.filter(pa.array(found))
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, _CLASS)
+    return _dealt(dealt).mapInArrow(run, _CLASS)
 
 
 def _across(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
@@ -254,32 +288,34 @@ def _across(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
     Only classes with a partner (`_candidates`) are sent their shingle sets, from the texts (id, text). Inside a pair of blocks the
     partners are held on their full sets; links that tie what earlier ones have tied are not returned, so rows are no more than
     the block's classes."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        of = _Block(pdf, settings)
-        sets: dict[int, np.ndarray] = {}
-
-        def full(x: int) -> np.ndarray:
-            if x not in sets:
-                sets[x] = _unpack(of.pdf["prints"].iloc[x])
-            return sets[x]
-
-        out, part = [], of.part
-        for x in range(len(of.ids) - 1):
-            for z in of.partners(x).tolist():
-                if part[z] == part[x]:
-                    continue
-                a, b = full(x), full(z)
-                if 100 * min(len(a), len(b)) < settings.percent * max(len(a), len(b)):
-                    continue
-                both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-                if 100 * both >= settings.percent * (len(a) + len(b) - both):
-                    out.append((of.ids[x], of.ids[z]))
-                    part[part == part[z]] = part[x]
-        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            of, sets, out = _Block(rows, settings), {}, []
+            prints, part = rows.column(9), of.part
+
+            def full(x: int) -> np.ndarray:
+                if x not in sets:
+                    sets[x] = _unpack(prints[x].as_py())  # noqa: B023
+                return sets[x]  # noqa: B023
+
+            for x, near in of.partners():
+                for z in near.tolist():
+                    if part[z] == part[x]:
+                        continue
+                    a, b = full(x), full(z)
+                    if 100 * min(len(a), len(b)) < settings.percent * max(len(a), len(b)):
+                        continue
+                    both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+                    if 100 * both >= settings.percent * (len(a) + len(b) - both):
+                        out.append((of.ids[x], of.ids[z]))
+                        part[part == part[z]] = part[x]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
     found = cut(_candidates(members, settings))
     prints = _prints(texts.join(found.select("id").distinct(), "id", "left_semi"), settings)
-    return found.join(prints, "set_hash").groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    with_sets = found.join(prints, "set_hash").select("key", "i", "j", "own", "id", "set_hash", "part", "low", "bands", "prints")
+    return _dealt(with_sets).mapInArrow(run, "a long, b long").distinct()
 
 
 def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
