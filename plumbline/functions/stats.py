@@ -158,6 +158,11 @@ def tasks(spark, n: int, run, schema: str) -> DataFrame:
     return spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
 
 
+def local(df: DataFrame) -> DataFrame:
+    """A table that its caller has capped, computed once and held by the driver, so that what is made of it does not compute it again."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def pair_sums(points: DataFrame, of: str, features: Sequence[str], inner_only_with: str | None = None) -> DataFrame:
     """(a, b, total): sums of distances over the pairs of points of the sets a < b, and over each set's own pairs, once each. of: the column that names a point's set.
 
@@ -192,7 +197,7 @@ def pair_sums(points: DataFrame, of: str, features: Sequence[str], inner_only_wi
 
 def energy(df: DataFrame, features: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """(group, n_syn, n_real, energy, scale) of capped rows (side, group, features): twice the mean cross distance less both mean inner ones, at least 0; scale: mean population deviation of the real features."""
-    group = list(group)
+    group, df = list(group), local(df.select("side", *group, *features))
     name = F.concat_ws("|", F.lit("g"), *[F.col(g).cast("string") for g in group])
     size = df.groupBy(*group).agg(F.count_if(F.col("side") == "synthetic").alias("n_syn"), F.count_if(F.col("side") == "real").alias("n_real"), (sum((F.stddev_pop(F.when(F.col("side") == "real", F.col(f))) for f in features), F.lit(0.0)) / len(features)).alias("scale"))
     sums = pair_sums(df.withColumn("_set", F.concat(name, F.lit("#"), "side")), "_set", features, "#")

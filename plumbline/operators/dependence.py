@@ -7,7 +7,7 @@ from itertools import combinations, permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import mean, mid_ranks, quantiles, rows, safe_corr
+from ..functions.stats import local, mean, mid_ranks, quantiles, rows, safe_corr
 from ..sources.panels import REAL, SYNTHETIC, Flat, Paths, on
 
 
@@ -76,6 +76,8 @@ def copula_distance(panel: Flat, size: int = 20, cap: int = 5000) -> DataFrame:
     binned = r.select("side", F.col(f"n_{panel.features[0]}").alias("n"), *[c.alias(f) for f, c in cell.items()])
     cells = F.array(*[F.struct(F.lit(_name(a, b)).alias("key"), F.col(a).alias("i"), F.col(b).alias("j")) for a, b in chosen])
     counts = binned.select("side", "n", F.explode(cells).alias("c")).groupBy("side", "n", "c.key", "c.i", "c.j").agg(F.count("*").alias("c"))
+    if len(chosen) <= 200:  # at most 441 cells a pair and side, read twice below
+        counts = local(counts)
     every = F.sequence(F.lit(0), F.lit(size - 1))
     dense = counts.select("side", "n", "key").distinct().select("side", "n", "key", F.explode(every).alias("i")).select("side", "n", "key", "i", F.explode(every).alias("j"))
     dense = dense.join(counts, ["side", "n", "key", "i", "j"], "left").withColumn("c", F.coalesce("c", F.lit(0)))

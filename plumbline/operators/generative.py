@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import blocks, rows, tasks
+from ..functions.stats import blocks, local, rows, tasks
 from ..sources.panels import REAL, SYNTHETIC, Flat, Paths
 
 CAP = 2000
@@ -41,7 +41,7 @@ def as_points(panel: Paths | Flat, cap: int = CAP) -> DataFrame:
     points = Flat(panel.df.select("side", *panel.order, F.array(*panel.features).alias("v")), ("v",), panel.order)
     fine = points.df.where(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) != float("inf"))))
     ident = F.row_number().over(Window.partitionBy("side").orderBy(*panel.order))
-    first = points.head(fine, cap).select("side", ident.alias("_id"), "v")
+    first = local(points.head(fine, cap).select("side", ident.alias("_id"), "v"))
     per = first.where(F.col("side") == REAL).select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), (F.stddev_pop("x") + 1e-12).alias("d"))
     m = per.agg(F.sort_array(F.collect_list(F.struct("i", "m", "d"))).alias("k")).select(F.col("k.m").alias("m"), F.col("k.d").alias("d"))
     z = F.zip_with(F.zip_with("v", "m", lambda x, y: x - y), "d", lambda x, y: x / y)
@@ -57,16 +57,15 @@ def _sides(x: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return flat[side == REAL], flat[side == SYNTHETIC]
 
 
-def _nearest(x: DataFrame, run, schema: str, n: str) -> DataFrame:
+def _nearest(spark: SparkSession, real: np.ndarray, syn: np.ndarray, run, schema: str, n: str) -> DataFrame:
     """run(rows, real, synthetic) over blocks of rows of one side (n), each held against both capped sides, which go to every task."""
-    real, syn = _sides(x)
-    held = x.sparkSession.sparkContext.broadcast((real, syn))
+    held = spark.sparkContext.broadcast((real, syn))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield run(batch.column(0).to_numpy(), *held.value)
 
-    return tasks(x.sparkSession, len(real) if n == REAL else len(syn), part, schema)
+    return tasks(spark, len(real) if n == REAL else len(syn), part, schema)
 
 
 def _others(rows_: np.ndarray, real: np.ndarray, k: int) -> np.ndarray:
@@ -82,6 +81,7 @@ def _others(rows_: np.ndarray, real: np.ndarray, k: int) -> np.ndarray:
 def density_coverage(panel: Paths | Flat, k: int = 5, cap: int = CAP) -> DataFrame:
     """density: synthetic points inside the balls of real ones, over k and their number; coverage: balls that hold one. A ball reaches to the (k+1)-th nearest other real point."""
     x = as_points(panel, cap)
+    real, syn = _sides(x)
 
     def run(rows_: np.ndarray, real: np.ndarray, syn: np.ndarray) -> pa.RecordBatch:
         radius, n = _others(rows_, real, k + 1), np.zeros(len(rows_), np.int64)
@@ -89,9 +89,9 @@ def density_coverage(panel: Paths | Flat, k: int = 5, cap: int = CAP) -> DataFra
             n[at] = (d <= radius[at, None]).sum(axis=1)
         return pa.RecordBatch.from_arrays([pa.array(n)], names=["n"])
 
-    hits = _nearest(x, run, "n long", REAL)
-    one = hits.agg(F.sum("n").alias("n"), F.avg((F.col("n") > 0).cast("double")).alias("coverage")).crossJoin(x.where(F.col("side") == SYNTHETIC).agg(F.count("*").alias("ns")))
-    density = F.col("n") / F.nullif(k * F.col("ns"), F.lit(0))
+    hits = _nearest(x.sparkSession, real, syn, run, "n long", REAL)
+    one = hits.agg(F.sum("n").alias("n"), F.avg((F.col("n") > 0).cast("double")).alias("coverage"))
+    density = F.col("n") / F.nullif(F.lit(k * len(syn)), F.lit(0))
     return rows(one, {"density": density, "coverage": F.col("coverage")}, F.col("coverage"))
 
 
@@ -134,7 +134,8 @@ def memorization(paths: Paths, cap: int = CAP, least: int = 10) -> DataFrame:
             out[at] = d.min(axis=1, initial=np.inf)
         return pa.RecordBatch.from_arrays([pa.array(out)], names=["d"])
 
-    rr, sr = _nearest(v, among, "d double", REAL), _nearest(v, to_real, "d double", SYNTHETIC)
+    sides = _sides(v)
+    rr, sr = _nearest(v.sparkSession, *sides, among, "d double", REAL), _nearest(v.sparkSession, *sides, to_real, "d double", SYNTHETIC)
     r = rr.agg(F.percentile("d", 0.5).alias("med_r"), F.percentile("d", 0.05).alias("q05"))
     s = sr.crossJoin(F.broadcast(r)).agg(F.percentile("d", 0.5).alias("med_s"), F.avg((F.col("d") < F.col("q05")).cast("double")).alias("near"), F.max("med_r").alias("med_r"), F.count("*").alias("n"))
     ratio = F.col("med_s") / (F.col("med_r") + 1e-12)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import energy, rows, uniform
+from ..functions.stats import energy, first_rows, local, rows, uniform
 from ..sources.panels import REAL, SYNTHETIC, Flat, Paths
 from .generative import feature_names, path_features
 
@@ -52,7 +52,7 @@ def capped_points(panel: Flat, cap: int, seed: int | None = None) -> DataFrame:
     least = both.groupBy("side").count().agg(F.min("count").alias("_least"))
     both = both.join(F.broadcast(least)).where("_n <= _least")
     label = (F.col("side") == REAL).cast("int")
-    return both.select((F.col("_n") * 2 + label).cast("long").alias("id"), label.alias("label"), "side", *panel.features)
+    return local(both.select((F.col("_n") * 2 + label).cast("long").alias("id"), label.alias("label"), "side", *panel.features))
 
 
 def c2st(panel: Flat | Paths, k: int = 5, cap: int = 1500, n_perm: int = 100, seed: int | None = 0) -> DataFrame:
@@ -106,10 +106,14 @@ def signature_features(paths: Paths) -> tuple[DataFrame, tuple[str, ...]]:
 def signature_distance(paths: Paths, cap: int = 1500, seed: int | None = 0) -> DataFrame:
     """Energy distance of signature features, standardised by the real side, over their mean real length; of a side of more than `cap` paths, those of least seeded hash (seed=None: of least id)."""
     x, names = signature_features(paths)
-    order = [uniform(seed, "path")] if seed is not None else []
-    one = lambda s: x.where(F.col("side") == s).orderBy(*order, "path").limit(cap)
-    x = one(REAL).unionByName(one(SYNTHETIC))
-    m = x.where(F.col("side") == REAL).agg(*[g(f).alias(f"{n}{f}") for f in names for n, g in (("m_", F.avg), ("d_", F.stddev_pop))])
+    order = ["_u", "path"] if seed is not None else ["path"]
+    x = x.withColumn("_u", uniform(seed, "path")) if seed is not None else x
+    x = local(first_rows(x, ["side"], order, cap, "_n").select("side", "path", *names))
+    # means are taken from the least value on: a constant feature (those of time alone) is then 0 exactly, not the noise of its sum over 1e-12
+    x = x.select("side", "path", *[F.round(f, 12).alias(f) for f in names])
+    real = x.where(F.col("side") == REAL)
+    low = real.agg(*[F.min(f).alias(f"l_{f}") for f in names])
+    m = real.join(F.broadcast(low)).agg(*[(F.avg(F.col(f) - F.col(f"l_{f}")) + F.min(f)).alias(f"m_{f}") for f in names], *[F.stddev_pop(f).alias(f"d_{f}") for f in names])
     z = x.join(F.broadcast(m)).select("side", F.col("path").alias("_id"), *[((F.col(f) - F.col(f"m_{f}")) / (F.col(f"d_{f}") + 1e-12)).alias(f) for f in names])
     norm = z.where(F.col("side") == REAL).agg(F.avg(F.sqrt(sum((F.col(f) * F.col(f) for f in names), F.lit(0.0)))).alias("norm"))
     e = energy(z, names).crossJoin(norm)

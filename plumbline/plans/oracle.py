@@ -206,11 +206,12 @@ def _signature() -> str:
     inc = ", ".join(f"{c} - lag({c}) OVER w AS {c}" for c in ch)
     run = ", ".join(f"coalesce(sum({c}) OVER (PARTITION BY side, path ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r_{c}" for c in ch)
     names = [f"s_{c}" for c in ch] + [f"s_{a}_{b}" for a in ch for b in ch]
-    agg = ", ".join([f"sum({c}) AS s_{c}" for c in ch] + [f"sum(r_{a} * {b}) AS s_{a}_{b}" for a in ch for b in ch])
-    std = ", ".join(f"(s.{n} - avg(CASE WHEN side = 'real' THEN s.{n} END) OVER ()) / (stddev_pop(CASE WHEN side = 'real' THEN s.{n} END) OVER () + 1e-12) AS {n}" for n in names)
+    agg = ", ".join([f"round(sum({c}), 12) AS s_{c}" for c in ch] + [f"round(sum(r_{a} * {b}), 12) AS s_{a}_{b}" for a in ch for b in ch])
+    std = ", ".join(f"(s.{n} - l_{n} - avg(CASE WHEN side = 'real' THEN s.{n} - l_{n} END) OVER ()) / (stddev_pop(CASE WHEN side = 'real' THEN s.{n} END) OVER () + 1e-12) AS {n}" for n in names)
+    low = ", ".join(f"min(CASE WHEN side = 'real' THEN {n} END) OVER () AS l_{n}" for n in names)
     norm = "sqrt(" + " + ".join(f"{n} * {n}" for n in names) + ")"
     return final(PATH + f""", tt AS (SELECT side, path, t, t / 59.0::DOUBLE AS time, price, quantity FROM p), i AS (SELECT side, path, t, {inc} FROM tt WINDOW w AS (PARTITION BY side, path ORDER BY t)), ii AS (SELECT * FROM i WHERE t > 0), rr AS (SELECT *, {run} FROM ii),
-s0 AS (SELECT side, path, {agg} FROM rr GROUP BY side, path), s AS (SELECT * FROM s0 QUALIFY row_number() OVER (PARTITION BY side ORDER BY path) <= 1500), e AS MATERIALIZED (SELECT side, path AS id, {std} FROM s), {_energy_sql('e', names)},
+s0 AS (SELECT side, path, {agg} FROM rr GROUP BY side, path), s1 AS (SELECT * FROM s0 QUALIFY row_number() OVER (PARTITION BY side ORDER BY path) <= 1500), s AS MATERIALIZED (SELECT *, {low} FROM s1), e AS MATERIALIZED (SELECT side, path AS id, {std} FROM s), {_energy_sql('e', names)},
 z AS (SELECT count(*) FILTER (side = 'synthetic') AS s, count(*) FILTER (side = 'real') AS r, avg({norm}) FILTER (side = 'real') AS norm FROM e), en AS (SELECT greatest(2 * xy.v / (z.s * z.r) - 2 * xx.v / (z.s * (z.s - 1)) - 2 * yy.v / (z.r * (z.r - 1)), 0) AS e, norm FROM xy, xx, yy, z)""",
                  "SELECT 'energy' AS key, e AS value FROM en UNION ALL SELECT 'norm', norm FROM en", "SELECT 'overall', e / (norm + 1e-9) FROM en")
 
