@@ -326,27 +326,27 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     banded = classes.select(F.explode("bands").alias("key"), "id")
     buckets = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count("*").alias("n")).where("a < last")
     met = cut(banded.join(buckets, "key").select("key", "a", F.col("id").alias("b"), "n"))
-    pairs = cut(met.where("a <> b").select("a", "b").distinct())
+    pairs = met.where("a <> b").select("a", "b").distinct()
     texts = _texts(docs, pairs)
     links = cut(_verify(pairs, texts, settings))
     # several rows of one id may differ in text; they are one node all the same
     same = sketches.where("set_hash is not null and doc_id is not null").join(classes.select("set_hash", F.col("id").alias("b")), "set_hash").select(F.col("doc_id").alias("a"), "b").where("a <> b")
-    parts = cut(components(links))
+    parts = components(links)
 
     in_bucket = met.select("key", F.col("b").alias("id"), "n")
     labelled = in_bucket.join(parts, in_bucket["id"] == parts["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
     mixed = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    members = cut(labelled.join(mixed, "key", "left_semi").dropDuplicates(["key", "id"]))
+    members = labelled.join(mixed, "key", "left_semi").dropDuplicates(["key", "id"])
     # several classes may have one id; those of a bucket have its key among their bands
     of_bucket = members.join(classes.select("id", "set_hash", "low", "bands"), "id").where("array_contains(bands, key)")
     more = cut(_across(of_bucket, texts, settings))
     if more.head(1):
         links = links.union(more)
-        parts = cut(components(links))
+        parts = components(links)
     # of class representatives to all ids; ids that stand in several classes tie them
     ids = sketches.where("set_hash is not null and doc_id is not null").groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y"))
     if ids.where("x <> y").head(1):
-        parts = cut(components(links.union(same)))
+        parts = components(links.union(same))
     of_class = classes.join(parts, classes["id"] == parts["node"], "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .shared import carried, cut, own, small
 
-#: Rows that a leaf's last bucket should hold; the number of buckets follows from the largest leaf.
-BUCKET_ROWS = 20_000
+#: Rows that a leaf's last bucket should hold; the number of buckets, 16^5 at most, follows from the largest leaf.
+BUCKET_ROWS = 2_000
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,7 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None, domain: Column | None =
     narrow = cut(keyed.select(F.col("doc_id").alias(f"{p}i"), *leaf, F.col(names["n_tokens"]).alias("n")))
     leaves = cut(narrow.groupBy(*[F.col(c).alias(a) for c, a in zip(leaf, ("domain", "lang", "source"), strict=True)]).agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")))
     most, digits = leaves.agg(F.max("rows")).head()[0] or 0, 1  # hex digits of the hash that name a bucket
-    while most > BUCKET_ROWS * 16**digits:
+    while most > BUCKET_ROWS * 16**digits and digits < 5:
         digits += 1
     plan = budgets(leaves.drop("rows"), mix)
     plan = cut(plan.select(*[F.col(a).alias(f"{p}{a}") for a in ("domain", "lang", "source")], F.when(F.col("tokens") > 0, F.expr("given div greatest(tokens, 1)")).otherwise(0).alias(f"{p}epoch"), F.when(F.col("tokens") > 0, F.expr("given % greatest(tokens, 1)")).otherwise(0).alias(f"{p}rest")))

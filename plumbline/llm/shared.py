@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with more rows than this is never broadcast.
-BROADCAST_ROWS = 20_000
+#: A side with more rows than this, or more bytes as JSON, is never broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +46,11 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, marked for broadcast if it is known to have few rows; else as it is, for a shuffled join."""
+    """df, marked for broadcast if it is known to have few rows and bytes; else as it is, for a shuffled join. df: cheap to read again."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    if n > BROADCAST_ROWS:
+        return df
+    return F.broadcast(df) if (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()[0] or 0) <= BROADCAST_BYTES else df
 
 
 #: Keys of more than one in so many rows are hot; there are no more of them than that.
