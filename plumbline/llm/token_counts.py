@@ -9,7 +9,7 @@ that runs which meet the text again only read its count.
 Digests are joined before any text moves. Each digest that is missing has one owner,
 the row of least id that holds it. Few owners (`BROADCAST_ROWS`) are sent to where the texts
 are; only where there are more, all texts are dealt by id to meet them, so copies
-neither meet in one task nor get encoded again; without a miss no text is read twice. Appending uses Spark's committed
+neither meet in one task nor get encoded again; without a miss no text is read twice. Counts go back to the rows by `spread_join`, as one text may be a third of all. Appending uses Spark's committed
 writes: a lost executor's task is done again, and a count that two runs (or two tasks with rows
 of one id and text) append is read once.
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import BROADCAST_ROWS, cut, scratch, utf8_size
+from .shared import BROADCAST_ROWS, cut, scratch, spread_join, utf8_size
 
 CACHE = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
@@ -103,12 +103,17 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(cache)
 
 
-def fill(docs: DataFrame, tokenizer: str, cache: str) -> None:
-    """Append the counts of every distinct text that the cache lacks."""
+def digests(docs: DataFrame) -> DataFrame:
+    """(content, owner, n) of every distinct text: its digest, the least id of its rows, and their number."""
+    return cut(docs.select("doc_id", _digest().alias("content")).groupBy("content").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")))
+
+
+def fill(docs: DataFrame, tokenizer: str, cache: str, distinct: DataFrame | None = None) -> None:
+    """Append the counts of every distinct text that the cache lacks. distinct: what `digests` gives."""
     spark, version_ = docs.sparkSession, tokenizer_digest(tokenizer)
     keyed = docs.select(F.col("doc_id").alias("doc_id"), _digest().alias("content"), "text")
     known = read_cache(spark, cache).where(F.col("tokenizer") == version_).select("content")
-    owners = cut(keyed.groupBy("content").agg(F.min("doc_id").alias("owner")).join(known, "content", "left_anti"))
+    owners = (digests(docs) if distinct is None else distinct).select("content", "owner").join(known, "content", "left_anti")
     n = owners.count()
     if not n:
         return
@@ -132,7 +137,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     """doc_id, n_bytes, n_tokens, over_limit of every document. Without a cache folder a new one in the shared folder is used."""
     spark = docs.sparkSession
     cache = cache or scratch(spark, "token-cache")
-    fill(docs, tokenizer, cache)
+    distinct = digests(docs)
+    fill(docs, tokenizer, cache, distinct)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == tokenizer_digest(tokenizer)).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = cut(distinct.drop("owner").join(counts, "content"))
     keyed = docs.select("doc_id", utf8_size(F.col("text")).alias("n_bytes"), _digest().alias("content"))
-    return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return spread_join(keyed, counts, ["content"], "n").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

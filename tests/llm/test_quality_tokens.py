@@ -174,6 +174,13 @@ def test_counts_are_the_librarys(spark, edge, documents, tmp_path):
     assert stored.count() == len({v or "" for v in texts.values()})
 
 
+def test_one_text_in_most_rows(spark):
+    rows = [(i, "the same text" if i % 3 else f"text {i % 40}") for i in range(9000)]
+    got = t.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "byte_bpe_50k.json").collect()
+    count = dict(zip(texts := sorted({r[1] for r in rows}), t.counter("byte_bpe_50k.json")(texts), strict=True))
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, count[x]) for i, x in rows]
+
+
 def test_warm_cache(spark, documents, tmp_path, monkeypatch):
     """Stored counts are used as they are; only new texts are encoded; many misses go by another join."""
     cache = f"file://{tmp_path}/cache"
