@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
 
 from collections.abc import Callable
@@ -14,13 +17,15 @@ BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir, or the one that the context checkpoints to; there is no machine-local one to fall back to."""
+    """The folder all executors share, from spark.checkpoint.dir, or the one that the context checkpoints to. Where neither is set, a folder of this machine in local mode (one process, as in tests), else an error: on a cluster there is none to fall back to."""
     try:
         place = spark.conf.get("spark.checkpoint.dir", None)
     except Exception:  # unknown keys without a default raise in some sessions
         place = None
     context = spark.sparkContext
     place = place or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not place and re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        place = f"file://{os.path.join(tempfile.gettempdir(), 'plumbline-shared')}"
     if not place:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
