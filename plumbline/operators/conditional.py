@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import POINT_BYTES, distance, energy, first_rows, pair_sums, quantiles, rows
+from ..functions.stats import POINT_BYTES, distance, energy, first_rows, local, pair_sums, quantiles, rows
 from ..sources.panels import REAL, Forecast, Paths
 from . import calibration as cal
 
@@ -31,14 +31,17 @@ def regime_conditional(paths: Paths, n_regimes: int = 3, cap: int = 5000, weight
 
 
 def _pools(fc: Forecast, axis: str, least: int, cap: int) -> tuple[DataFrame, DataFrame]:
-    """The actuals and the samples of each regime of at least `least` observations, capped in order; (label, _id, features)."""
+    """The actuals and the samples of each regime of at least `least` observations, capped in order; (label, _id, features). Where all caps together are within `POINT_BYTES`, they are computed once."""
     labels = fc.labels.where(F.col("axis") == axis).select("obs", "label")
     big = labels.join(fc.actuals.select("obs"), "obs").groupBy("label").count().where(F.col("count") >= least).select("label")
     labels = labels.join(F.broadcast(big), "label")
 
     def pool(df: DataFrame, order: list[str]) -> DataFrame:
         x = df.dropna(subset=list(fc.features)).join(labels, "obs")
-        return first_rows(x, ["label"], order, cap, "_id").select("label", "_id", *fc.features)
+        x = first_rows(x, ["label"], order, cap, "_id").select("label", "_id", *fc.features)
+        return local(x) if fits else x
+
+    fits = big.count() * cap * 8 * len(fc.features) <= POINT_BYTES
 
     return pool(fc.actuals, ["obs"]), pool(fc.samples, ["obs", "sample"])
 

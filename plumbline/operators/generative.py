@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import blocks, local, rows, tasks
+from ..functions.stats import blocks, first_rows, local, rows, tasks
 from ..sources.panels import REAL, SYNTHETIC, Flat, Paths
 
 CAP = 2000
@@ -49,12 +50,15 @@ def as_points(panel: Paths | Flat, cap: int = CAP) -> DataFrame:
 
 
 def _sides(x: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The capped points (side, v) of the real and of the synthetic side, as matrices."""
-    table = x.select("side", "v").toArrow()
-    side = np.array(table.column("side").to_pylist(), object)
-    v = table.column("v").combine_chunks()
-    flat = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
-    return flat[side == REAL], flat[side == SYNTHETIC]
+    """The capped points (side, v) of the real and of the synthetic side, as matrices; missing values are NaN. The points of a side must be of one length."""
+    table, out = x.select("side", "v").toArrow(), []
+    for name in (REAL, SYNTHETIC):
+        v = table.filter(pc.equal(table.column("side"), name)).column("v").combine_chunks()
+        flat = v.flatten().to_numpy(zero_copy_only=False).astype(float)
+        if len(v) and len(flat) != len(v) * len(v[0]):
+            raise ValueError(f"the points of the {name} side are not of one length")
+        out.append(flat.reshape(len(v), -1) if len(v) else np.zeros((0, 1)))
+    return out[0], out[1]
 
 
 def _nearest(spark: SparkSession, real: np.ndarray, syn: np.ndarray, run, schema: str, n: str) -> DataFrame:
@@ -116,14 +120,17 @@ def enough_reference(n_real: int, dims: int, k: int = 5) -> bool:
 
 def memorization(paths: Paths, cap: int = CAP, least: int = 10) -> DataFrame:
     """1 less the ratio of the median distance of synthetic paths to their nearest real one to that among real paths, at least 0; and the share of synthetic paths nearer than the 5% quantile of the latter."""
-    one = lambda s: paths.df.where(F.col("side") == s).select("path").distinct().orderBy("path").limit(cap).withColumn("side", F.lit(s))
-    df = paths.df.join(F.broadcast(one(REAL).unionByName(one(SYNTHETIC))), ["side", "path"])
-    sd = df.where(F.col("side") == REAL).agg(*[F.stddev_pop(f).alias(f"d_{f}") for f in paths.features])
-    df = df.join(F.broadcast(sd))
-    cell = F.struct("t", *[(F.col(f) / (F.col(f"d_{f}") + 1e-12)).alias(f) for f in paths.features])
-    v = df.groupBy("side", "path").agg(F.sort_array(F.collect_list(cell)).alias("v"), F.count("*").alias("_h"))
-    v = v.where(F.forall("v", lambda c: _present(c, paths.features)))
-    v = v.select("side", "path", F.flatten(F.transform("v", lambda c: F.array(*[c[f] for f in paths.features]))).alias("v"))
+    first = first_rows(paths.df.select("side", "path").distinct(), ["side"], ["path"], cap, "_n").select("side", "path")
+    cell = F.struct("t", *paths.features)
+    v = paths.df.join(F.broadcast(first), ["side", "path"]).groupBy("side", "path").agg(F.sort_array(F.collect_list(cell)).alias("v"))
+    real, syn = _sides(v.select("side", F.flatten(F.transform("v", lambda c: F.array(*[c[f] for f in paths.features]))).alias("v")))
+    if real.shape[1] != syn.shape[1] and len(real) and len(syn):
+        raise ValueError("the sides' horizons differ")
+    d = len(paths.features)
+    if len(real):
+        scale = np.tile(np.array([np.nanstd(real[:, j::d]) for j in range(d)]) + 1e-12, real.shape[1] // d)
+        real, syn = real / scale, syn / scale if len(syn) else syn
+    real, syn = (x[~np.isnan(x).any(axis=1)] for x in (real, syn))
 
     def among(rows_: np.ndarray, real: np.ndarray, syn: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(_others(rows_, real, 1))], names=["d"])
@@ -134,16 +141,10 @@ def memorization(paths: Paths, cap: int = CAP, least: int = 10) -> DataFrame:
             out[at] = d.min(axis=1, initial=np.inf)
         return pa.RecordBatch.from_arrays([pa.array(out)], names=["d"])
 
-    sides = _sides(v)
-    rr, sr = _nearest(v.sparkSession, *sides, among, "d double", REAL), _nearest(v.sparkSession, *sides, to_real, "d double", SYNTHETIC)
+    spark = paths.df.sparkSession
+    rr, sr = _nearest(spark, real, syn, among, "d double", REAL), _nearest(spark, real, syn, to_real, "d double", SYNTHETIC)
     r = rr.agg(F.percentile("d", 0.5).alias("med_r"), F.percentile("d", 0.05).alias("q05"))
     s = sr.crossJoin(F.broadcast(r)).agg(F.percentile("d", 0.5).alias("med_s"), F.avg((F.col("d") < F.col("q05")).cast("double")).alias("near"), F.max("med_r").alias("med_r"), F.count("*").alias("n"))
     ratio = F.col("med_s") / (F.col("med_r") + 1e-12)
     return rows(s, {"nn_ratio": ratio, "near_duplicate_fraction": F.col("near")}, F.when(F.col("n") >= least, F.greatest(1 - ratio, F.lit(0.0))))
 
-
-def _present(c, features: tuple[str, ...]):
-    out = F.lit(True)
-    for f in features:
-        out = out & c[f].isNotNull()
-    return out
