@@ -62,6 +62,12 @@ def _gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("row", *[F.round(f, 6).alias(f) for f in panel.features])
 
 
+def _log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log returns of each customer's order totals."""
+    x = p.log_returns(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), ["o_totalprice"], ["o_orderdate", "o_orderkey"], by=["o_custkey"])
+    return x.select("o_custkey", "o_orderkey", F.round("o_totalprice", 6).alias("log_return"))
+
+
 def _mean_gap(df: DataFrame) -> DataFrame:
     return df.groupBy("rep").agg(F.abs(F.avg(p.on(p.SYNTHETIC, F.col("price"))) - F.avg(p.on(p.REAL, F.col("price")))).alias("value"))
 
@@ -124,7 +130,7 @@ QUERIES: dict[str, Query] = (
     | {f"coverage_{round(100 * x)}": _on(p.part_forecasts, calibration.coverage, level=x) for x in (0.5, 0.9, 0.95)}
     | {"c2st": _on(p.lineitem_flat, joint.c2st, seed=None, n_perm=0)}
     | {n: _on(p.embedding_points, m) for n, m in {"density_coverage": generative.density_coverage, "coverage_deficit": generative.coverage_deficit, "plausibility_deficit": generative.plausibility_deficit}.items()}
-    | {"path_features": _path_features, "subwindow": _subwindow, "historical_bootstrap": _historical, "block_bootstrap": _block, "gaussian_baseline": _gaussian, "iid_bootstrap_ci": _ci(1), "block_bootstrap_ci": _ci(20),
+    | {"path_features": _path_features, "subwindow": _subwindow, "log_returns": _log_returns, "historical_bootstrap": _historical, "block_bootstrap": _block, "gaussian_baseline": _gaussian, "iid_bootstrap_ci": _ci(1), "block_bootstrap_ci": _ci(20),
        "marginal_ks_p_values": _on(p.lineitem_flat, marginal.marginal_ks_p_values),
        "validate": _validate, "validate_report": _validate_report, "validate_paths": _validate_paths, "validate_calibration": _validate_calibration, "validate_conditional": _validate_conditional,
        "validate_generative": _validate_generative, "lens_report": _lens_report}

@@ -332,6 +332,8 @@ SELECT a.side, a.path, round(a.cum, 6) AS cum_price, round(b.cum, 6) AS cum_quan
     "historical_bootstrap": HISTORICAL, "block_bootstrap": BLOCK, "gaussian_baseline": GAUSS, "iid_bootstrap_ci": _ci(1), "block_bootstrap_ci": _ci(20),
 }
 
+ORACLE["log_returns"] = """SELECT o_custkey, o_orderkey, round(ln(greatest(o_totalprice, 1e-9)) - ln(greatest(before, 1e-9)), 6) AS log_return
+FROM (SELECT o_custkey, o_orderkey, o_totalprice::DOUBLE AS o_totalprice, lag(o_totalprice::DOUBLE) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) WHERE before IS NOT NULL"""
 ORACLE["marginal_ks_p_values"] = final(_ks(LONG, "long"), """SELECT key, CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(list_sum([CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * j * j * x * x) FOR j IN range(1, 101)]), 0), 1) END AS value
 FROM (SELECT feature AS key, max(abs(fa - fb)) * any_value(sqrt(na * nb / (na + nb))) AS x FROM kr JOIN (SELECT feature, count(*) FILTER (side = 'real')::DOUBLE AS na, count(*) FILTER (side = 'synthetic')::DOUBLE AS nb FROM long GROUP BY feature) USING (feature) GROUP BY feature)""", "SELECT 'overall', min(value) FROM r")
 
