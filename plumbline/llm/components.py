@@ -44,9 +44,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     back, so a node with many links is no single task's."""
     u, v = links.columns[:2]
     edges = links.where(F.col(u) != F.col(v)).select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v"))
-    edges = cut(edges.mapInArrow(_forest, "u long, v long").distinct())
+    edges = cut(edges.mapInArrow(_forest, "u long, v long").distinct(), links.count(), ROWS)
     # a round leaves no more links than there are nodes: partitions by their number, not by the session's setting
-    parts, last = max(8, -(-2 * edges.count() // ROWS)), None
+    most, last = 2 * edges.count(), None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -54,7 +54,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         joined = large.join(low, large["u"] == low["k"])
         out = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = cut(out.coalesce(parts))
+        edges = cut(out, most, ROWS)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == last:
             break

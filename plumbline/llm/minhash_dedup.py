@@ -177,11 +177,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame
     return joined.join(t, F.col("b") == F.col("ib")).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The text of each class in the pairs."""
+def _texts(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The text of each class in the pairs, n at most."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut(rows.join(wanted.hint("shuffle_hash"), rows["doc_id"] == wanted["id"]).select("id", "text"))
+    return cut(rows.join(wanted.hint("shuffle_hash"), rows["doc_id"] == wanted["id"]).select("id", "text"), n, 20_000)
 
 
 def _prints(texts: DataFrame, settings: Settings) -> DataFrame:
@@ -282,12 +282,12 @@ def _candidates(members: DataFrame, settings: Settings) -> DataFrame:
     return _dealt(dealt).mapInArrow(run, _CLASS)
 
 
-def _across(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+def _across(members: DataFrame, texts: DataFrame, settings: Settings, most: int) -> DataFrame:
     """Links between classes of one bucket and different components.
 
     Only classes with a partner (`_candidates`) are sent their shingle sets, from the texts (id, text). Inside a pair of blocks the
     partners are held on their full sets; links that tie what earlier ones have tied are not returned, so rows are no more than
-    the block's classes."""
+    the block's classes. most: about as many members."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 3):
             of, sets, out = _Block(rows, settings), {}, []
@@ -312,7 +312,7 @@ def _across(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    found = cut(_candidates(members, settings))
+    found = cut(_candidates(members, settings), most, 100_000, deal=True)
     prints = _prints(texts.join(found.select("id").distinct(), "id", "left_semi"), settings)
     with_sets = found.join(prints, "set_hash").select("key", "i", "j", "own", "id", "set_hash", "part", "low", "bands", "prints")
     return _dealt(with_sets).mapInArrow(run, "a long, b long").distinct()
@@ -322,13 +322,14 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     settings = settings or Settings()
     sketches = cut(sketch(docs, settings))
-    classes = cut(sketches.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("low").alias("low")))
+    n = sketches.count()
+    classes = cut(sketches.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("low").alias("low")), n, 100_000)
     banded = classes.select(F.explode("bands").alias("key"), "id")
     buckets = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count("*").alias("n")).where("a < last")
-    met = cut(banded.join(buckets, "key").select("key", "a", F.col("id").alias("b"), "n"))
+    met = cut(banded.join(buckets, "key").select("key", "a", F.col("id").alias("b"), "n"), settings.bands * n)
     pairs = met.where("a <> b").select("a", "b").distinct()
-    texts = _texts(docs, pairs)
-    links = cut(_verify(pairs, texts, settings))
+    texts = _texts(docs, pairs, n)
+    links = cut(_verify(pairs, texts, settings), settings.bands * n, deal=True)
     # several rows of one id may differ in text; they are one node all the same
     same = sketches.where("set_hash is not null and doc_id is not null").join(classes.select("set_hash", F.col("id").alias("b")), "set_hash").select(F.col("doc_id").alias("a"), "b").where("a <> b")
     parts = components(links)
@@ -339,7 +340,7 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     members = labelled.join(mixed, "key", "left_semi").dropDuplicates(["key", "id"])
     # several classes may have one id; those of a bucket have its key among their bands
     of_bucket = members.join(classes.select("id", "set_hash", "low", "bands"), "id").where("array_contains(bands, key)")
-    more = cut(_across(of_bucket, texts, settings))
+    more = cut(_across(of_bucket, texts, settings, settings.bands * n), settings.bands * n)
     if more.head(1):
         links = links.union(more)
         parts = components(links)

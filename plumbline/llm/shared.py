@@ -33,9 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the shared folder."""
+def cut(df: DataFrame, rows: int | None = None, per: int = 1_000_000, deal: bool = False) -> DataFrame:
+    """A reliable checkpoint of df in the shared folder.
+
+    rows: a bound on its rows, where one is known; then it is written as one file for every `per` of them (8 at
+    least), not one for each partition of the session's setting. deal: by a shuffle of its own, where the rows are few but dear to make."""
     shared_dir(df.sparkSession)
+    if rows is not None:
+        n = max(8, -(-rows // per))
+        df = df.repartition(n) if deal else df.coalesce(n)
     return df.checkpoint(eager=True)
 
 

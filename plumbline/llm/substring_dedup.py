@@ -244,9 +244,10 @@ def _resolved(docs: DataFrame, window: int, into: str = "sha") -> DataFrame:
     least = [F.min("doc_id").alias("source"), F.min_by("place", "doc_id").alias("source_place")]
     shared = all_.groupBy("a").agg(*least, F.max("doc_id").alias("high"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.count("*").alias("n"))
     shared = cut(shared.where("source < high").select("a", "source", "source_place", (F.col("s0") != F.col("s1")).alias("mixed"), "n"))
-    met = cut(spread_join(all_, shared, ["a"], "n"))
+    total = shared.agg(F.sum("n")).head()[0] or 0
+    met = cut(spread_join(all_, shared, ["a"], "n"), total)
     # of an anchor with several blocks, the least document of each block
-    blocks = cut(met.where("mixed").groupBy("a", "s").agg(*least, F.count("*").alias("n")))
+    blocks = cut(met.where("mixed").groupBy("a", "s").agg(*least, F.count("*").alias("n")), total)
     mixed = spread_join(met.where("mixed").drop("source", "source_place"), blocks, ["a", "s"], "n")
     known = met.where("not mixed and doc_id > source")
     copy = F.struct(at.alias("at"), "source", there.alias("place"))
