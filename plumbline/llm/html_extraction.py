@@ -57,7 +57,7 @@ _ASIDE_TAGS = frozenset("nav footer aside form menu dialog select fieldset searc
 _MAIN_ROLES = frozenset(("main", "article"))
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu button".split())
 _STORY_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|main|story|text|body|blog)(?:$|[\s_-])")
-_ASIDE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|search|menu|nav\w*|breadcrumbs?|toolbar|header|masthead|footer|foot|sidebar|side|aside|widget|related|recommend\w*|share|sharing|social|pagination|pager|tags?|copyright|legal|skip\w*|byline)(?:$|[\s_-])")
+_ASIDE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adsby\w*|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|search|menu|nav\w*|breadcrumbs?|toolbar|header|masthead|footer|foot|sidebar|side|aside|widget|related|recommend\w*|share|sharing|social|pagination|pager|tags?|copyright|legal|skip\w*|byline)(?:$|[\s_-])")
 _TALK_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|respond|discussion|disqus)(?:$|[\s_-]|list|area)")
 #: First lines of readers' comments.
 _TALK_LINE = re.compile(r"(?:\d+\s+)?(?:comments?|replies|responses|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d*\)?)?\s*:?", re.I)
@@ -65,6 +65,7 @@ _TALK_LINE = re.compile(r"(?:\d+\s+)?(?:comments?|replies|responses|leave a (?:c
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>" + _RAW + r")\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BREAKS = frozenset(".!?:;")
 
@@ -99,7 +100,7 @@ def _element(tag: str, attrs: str, parent: int) -> Element:
     out = Element(tag, parent, tag in _MAIN_TAGS, tag in _ASIDE_TAGS)
     if "=" in attrs or "hidden" in attrs:
         for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), (a or b or c).lower()
+            name, value = name.lower(), _CAMEL.sub("-", a or b or c).lower()
             if name == "role":
                 out.main |= value in _MAIN_ROLES
                 out.aside |= value in _ASIDE_ROLES

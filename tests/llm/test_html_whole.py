@@ -41,6 +41,12 @@ def test_unnamed_comments_and_controls_go():
     assert x.extract(page(tail=f"<div><h3>3 comments</h3><p>{STORY}</p></div><button>Send now</button>")) == TEXT
 
 
+@pytest.mark.parametrize("tail", ['<div class="commentList"><p>{}</p></div>', '<div id="pageFooter"><p>{}</p></div>', '<div role="alert"><p>{}</p></div>', '<div style="display: none"><p>{}</p></div>', '<ins class="adsbygoogle"></ins><div class="adsbygoogle">{}</div>', '<div class="disqus_thread"><article class="comment"><p>{}</p></article></div>', '<aside><p>{}</p></aside>', '<form><p>{}</p></form>'])
+def test_what_is_not_the_story_goes(tail):
+    assert x.extract(page(tail=tail.format(STORY))) == TEXT
+    assert x.extract(page(tail=tail.format(" ".join([STORY] * 12)))) == TEXT
+
+
 def test_title_tells_the_story():
     p = page()
     of = x.read(p)
