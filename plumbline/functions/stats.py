@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Buckets of the value axis in running sums: so many coarse ones, each of as many fine ones.
 WAYS = 20
-#: Ranks of a feature with at most so many values are sent to the rows; with more, rows are dealt by value.
+#: Values of a feature with at most so many are summed in one window and their ranks sent to the rows; with more, sums are bucketed and rows dealt by value.
 FEW_VALUES = 10_000
 #: Bytes of points that are sent to every task at most.
 POINT_BYTES = 256 << 20
@@ -119,14 +119,18 @@ def quantiles(long: DataFrame, group: Sequence[str], probs: Sequence[float]) ->
 
 def mid_ranks(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Each side's rows with features replaced by their ranks, ties sharing the middle, and `n_<feature>` present values (both NULL where the feature is)."""
-    long = df.select("side", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in features])).alias("c")).select("side", "c.feature", "c.v").where("v is not null")
-    c = long.groupBy("side", "feature", "v").agg(F.count("*").alias("c"))
-    ranks = running(c, ["side", "feature"], "v", ["c"], long).select("side", "feature", "v", (F.col("c_to") - (F.col("c") - 1) / 2.0).alias("rank"), "c_all")
     few = df.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).head()
     out = df.select("side", *keep, *features)
-    for f in features:
-        one = ranks.where(F.col("feature") == f).select(F.col("side").alias("_s"), F.col("v").alias("_v"), F.col("rank").alias(f"r_{f}"), F.col("c_all").alias(f"n_{f}"))
-        one = F.broadcast(one) if few[f] <= FEW_VALUES else one
+    for f in features:  # each from its own column: one long table would be made again for every feature
+        long = df.select("side", F.col(f).alias("v")).where("v is not null")
+        c = long.groupBy("side", "v").agg(F.count("*").alias("c"))
+        if small := few[f] <= FEW_VALUES:
+            up = Window.partitionBy("side").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+            sums = c.withColumns({"c_to": F.sum("c").over(up), "c_all": F.sum("c").over(Window.partitionBy("side"))})
+        else:
+            sums = running(c, ["side"], "v", ["c"], long)
+        one = sums.select(F.col("side").alias("_s"), F.col("v").alias("_v"), (F.col("c_to") - (F.col("c") - 1) / 2.0).alias(f"r_{f}"), F.col("c_all").alias(f"n_{f}"))
+        one = F.broadcast(one) if small else one
         out = out.join(one, (F.col("side") == F.col("_s")) & (F.col(f) == F.col("_v")), "left").drop("_s", "_v")
     return out.select("side", *keep, *[F.col(f"r_{f}").alias(f) for f in features], *[f"n_{f}" for f in features])
 

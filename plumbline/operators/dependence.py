@@ -54,6 +54,13 @@ def grid(n: int = 20) -> list[float]:
     return [0.05 + 0.9 * i / (n - 1) for i in range(n)]
 
 
+def _cell(u: Column, points: list[float]) -> Column:
+    """How many of the evenly spaced points lie below u: found by its distance from the first, and made exact by the two points there."""
+    g, last = F.array(*[F.lit(x) for x in points]), len(points) - 1
+    k = F.greatest(F.lit(0), F.least(F.lit(last), F.floor((u - points[0]) * (last / (points[-1] - points[0]))).cast("int")))
+    return k + (u > F.get(g, k)).cast("int") + F.coalesce((u > F.get(g, k + 1)).cast("int"), F.lit(0))
+
+
 def _capped(features: tuple[str, ...], cap: int, seed: int, ordered: bool = False) -> list[tuple[str, str]]:
     """All pairs, or a seeded choice of them."""
     import hashlib
@@ -71,9 +78,10 @@ def copula_distance(panel: Flat, size: int = 20, cap: int = 5000) -> DataFrame:
     running sums over the cells give the copula, whatever the number of rows."""
     points = grid(size)
     r = mid_ranks(panel.complete(), panel.features)
-    cell = {f: sum(((F.col(f) / (F.col(f"n_{f}") + 1) > g).cast("int") for g in points), F.lit(0)) for f in panel.features}
     chosen = _capped(panel.features, cap, 42)
-    binned = r.select("side", F.col(f"n_{panel.features[0]}").alias("n"), *[c.alias(f) for f, c in cell.items()])
+    n = F.col(f"n_{panel.features[0]}")  # of complete rows all features have as many
+    at = r.select("side", n.alias("n"), *[(F.col(f) / (F.col(f"n_{f}") + 1)).alias(f) for f in panel.features])
+    binned = at.select("side", "n", *[_cell(F.col(f), points).alias(f) for f in panel.features])
     cells = F.array(*[F.struct(F.lit(_name(a, b)).alias("key"), F.col(a).alias("i"), F.col(b).alias("j")) for a, b in chosen])
     counts = binned.select("side", "n", F.explode(cells).alias("c")).groupBy("side", "n", "c.key", "c.i", "c.j").agg(F.count("*").alias("c"))
     if len(chosen) <= 200:  # at most 441 cells a pair and side, read twice below
