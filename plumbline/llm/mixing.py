@@ -15,6 +15,8 @@ is found through sums of hash buckets, as many as the largest leaf needs for buc
 ends are sorted, so a leaf with a third of all rows is no single task's. Budgets are dealt in whole tokens: what a
 division leaves over, less than one token a child at each level, is not dealt.
 
+Where the texts are not wanted back, `counted` reads them once, and the mix is made of its rows.
+
 Defined results: a token is a run of `[^\\x20\\x09-\\x0D]+`; null texts have none and are
 taken where they fall inside the prefix; null language or source reads as '';
 weights are whole numbers above 0, 1 where not given; of equal hashes the smaller id and text
@@ -93,23 +95,34 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return deal(leaves, ["domain", "lang"], "source").select("domain", "lang", "source", "tokens", "given")
 
 
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and source of every row of docs with the text's tokens and digest, which `mix_sources` takes in place of it: dealt, as a checkpoint of few files, so what follows is neither a pass over the texts nor a task for each piece of them."""
+    return cut(docs.select("doc_id", "lang", "source", _tokens(F.col("text")).alias("tokens"), _digest(F.col("text")).alias("digest")), docs.count(), deal=True)
+
+
 def mix_sources(docs: DataFrame, mix: Mix | None = None, domain: Column | None = None) -> DataFrame:
-    """The chosen rows of docs with domain, n_tokens and copies (names as `own` gives them): how often each stands in the mix."""
+    """The chosen rows of docs with domain, n_tokens and copies (names as `own` gives them): how often each stands in the mix. docs: with their texts, or as `counted` gives them."""
     mix = mix or Mix()
     added = {c: own(docs, c) for c in ("domain", "n_tokens", "copies")}
     own_domain = own(docs, "_domain")
     if domain is not None:
         docs = docs.withColumn(own_domain, domain)
-    docs, back = carried(docs, ("doc_id", "text", "lang", "source"))
+    texts = "text" in docs.columns
+    docs, back = carried(docs, ("doc_id", *(("text",) if texts else ("tokens", "digest")), "lang", "source"))
     names, p = {c: c for c in added}, "_mix"
     given = F.col(docs.columns[-1]) if domain is not None else None
     keyed = docs.withColumns({
-        names["n_tokens"]: _tokens(F.col("text")),
+        names["n_tokens"]: _tokens(F.col("text")) if texts else F.col("tokens"),
         f"{p}d": given if given is not None else domain_of(F.col("source")), f"{p}l": F.coalesce("lang", F.lit("")), f"{p}s": F.coalesce("source", F.lit("")),
     })
-    tie = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    tie = _digest(F.col("text")) if texts else F.col("digest")
     leaf = [f"{p}d", f"{p}l", f"{p}s"]
-    narrow = cut(keyed.select(F.col("doc_id").alias(f"{p}i"), *leaf, F.col(names["n_tokens"]).alias("n")))
+    narrow = keyed.select(F.col("doc_id").alias(f"{p}i"), *leaf, F.col(names["n_tokens"]).alias("n"))
+    narrow = cut(narrow) if texts else narrow
     leaves = cut(narrow.groupBy(*[F.col(c).alias(a) for c, a in zip(leaf, ("domain", "lang", "source"), strict=True)]).agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")))
     most, digits = leaves.agg(F.max("rows")).head()[0] or 0, 1  # hex digits of the hash that name a bucket
     while most > BUCKET_ROWS * 16**digits and digits < 5:

@@ -31,7 +31,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+    return mixing.mix_sources(mixing.counted(table(spark, sf_dir, "documents"))).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from plumbline.llm import mixing, sharding
+from plumbline.llm import mixing, queries, sharding
 
 from .conftest import words
 
@@ -85,6 +85,28 @@ def test_mix_edges(clashing, none):
     assert mixing.take(none).count() == 0
 
 
+@pytest.mark.parametrize("mix", [mixing.Mix(), mixing.Mix(percent=170, seed=3)])
+def test_mix_of_counted_rows(spark, edge, mix):
+    docs = edge.unionByName(spark.createDataFrame([(1, "one id, another text", "en", "a"), (2, None, "en", "a"), (2, "two words", "en", "a")], edge.schema))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    got = sorted((tuple(r) for r in mixing.mix_sources(mixing.counted(docs), mix).select("doc_id", "domain", "n_tokens", "copies").collect()), key=str)
+    assert got == brute_mix(rows, mix)
+    assert mixing.mix_sources(mixing.counted(docs.limit(0)), mix).count() == 0
+
+
+def test_query_reads_texts_once(spark, documents, tmp_path):
+    documents.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        pieces = spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions()
+        out = queries.op4_mixing(spark, str(tmp_path))
+        assert out.inputFiles() == [] and out.rdd.getNumPartitions() <= 12 < pieces
+        rows = [tuple(r) for r in documents.select("doc_id", "text", "lang", "source").collect()]
+        assert sorted((tuple(r) for r in out.select("doc_id", "domain", "n_tokens", "copies").collect()), key=str) == brute_mix(rows, mixing.Mix())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def brute_order(rows):
     return sorted(rows, key=lambda r: (hashlib.md5((r[1] or "").encode()).hexdigest(), r[0] is not None, r[0] or 0))
 
