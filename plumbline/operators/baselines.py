@@ -9,9 +9,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import bucketed, cuts, uniform
+from ..functions.stats import bucketed, cuts, held, local, uniform
 from ..sources.panels import Flat, Paths
 
+#: Draws that a task of `bootstrap_ci` makes.
+DRAWS_A_TASK = 2_000_000
+
 
 def numbered(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """df with `idx` 0.. in order: rows are dealt to ranges of the first order column, numbered inside, and offset by the ranges before.
@@ -20,12 +23,12 @@ def numbered(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
     is dealt again by the second column, so a value that holds much of the table
     is no single task's."""
     lead = order[0]
-    bounds = df.agg(cuts(lead).alias("_cuts"))
+    bounds = local(df.agg(cuts(lead).alias("_cuts")))  # found once: sketches merged in another order would cut elsewhere
     bounds = bounds.withColumn("_at", F.array_distinct(F.concat("_cuts.coarse", F.flatten("_cuts.fine"))))
     cut = bucketed(df.join(F.broadcast(bounds)), "_cuts", lead, "_b")
     cut = cut.withColumn("_b", 2 * F.col("_b") + F.coalesce(F.array_contains("_at", F.col(lead)), F.lit(False)).cast("int")).drop("_at")
     if len(order) > 1:
-        again = cut.where(F.col("_b") % 2 == 1).groupBy("_b").agg(cuts(order[1]).alias("_cuts"))
+        again = local(cut.where(F.col("_b") % 2 == 1).groupBy("_b").agg(cuts(order[1]).alias("_cuts")))
         cut = bucketed(cut.join(F.broadcast(again), "_b", "left"), "_cuts", order[1], "_c").withColumn("_c", F.greatest("_c", F.lit(0)))
     else:
         cut = cut.withColumn("_c", F.lit(0))
@@ -101,16 +104,29 @@ def bootstrap_ci(df: DataFrame, order: tuple[str, ...], metric: Callable[[DataFr
 
     All replicates are one plan: rows get a replicate number `rep`, and `metric`
     maps (rep, side, ...) to (rep, value). block: rows drawn together, 1 for
-    independent draws; values that are not finite are skipped."""
-    sides = []
-    for side in ("real", "synthetic"):
-        base = numbered(df.where(F.col("side") == side), order)
-        n = base.agg(F.count("*").alias("_n"))
-        reps = df.sparkSession.range(replicates).select(F.col("id").alias("rep")).join(F.broadcast(n))
-        starts = reps.select("rep", "_n", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / block) - 1).cast("int"))).alias("j"))
-        starts = starts.select("rep", "_n", "j", _place(seed, F.greatest(F.col("_n") - block + 1, F.lit(1)), F.lit(side), "rep", "j").alias("s"))
-        draws = starts.select("rep", "_n", "j", "s", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k")).where(F.col("j") * block + F.col("k") < F.col("_n"))
-        sides.append(draws.select("rep", (F.col("s") + F.col("k")).alias("idx")).join(base, "idx").drop("idx"))
-    values = metric(sides[0].unionByName(sides[1])).where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
-    tail = (1 - level) / 2
-    return values.agg(F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"), F.count("*").alias("n"))
+    independent draws; values that are not finite are skipped. There are
+    `replicates` times as many draws as rows, so they are dealt to the rows by
+    place and never sent to every task; a block is dealt as a whole."""
+    spark = df.sparkSession
+    with held(df) as df:
+        sides = []
+        for side in ("real", "synthetic"):
+            base = numbered(df.where(F.col("side") == side), order)
+            n = df.where(F.col("side") == side).count()
+            per = -(-n // block)
+            draws = spark.range(0, replicates * per, 1, max(1, -(-replicates * per // DRAWS_A_TASK))).select(F.expr(f"id div {max(per, 1)}").alias("rep"), F.expr(f"id % {max(per, 1)}").alias("j"))
+            draws = draws.select("rep", "j", _place(seed, F.lit(max(n - block + 1, 1)), F.lit(side), "rep", "j").alias("s"))
+            if block == 1:
+                sides.append(draws.select("rep", F.col("s").alias("idx")).join(base.hint("shuffle_hash"), "idx").drop("idx"))
+                continue
+            # runs of `block` rows, of which a drawn block meets two at most
+            runs = base.groupBy(F.expr(f"idx div {block}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("idx", *df.columns))).alias("rows"))
+            at, size = F.col("s") % block, F.least(F.lit(block), F.lit(n) - F.col("j") * block)
+            first = F.least(size, block - at)
+            parts = F.array(F.struct(F.expr(f"s div {block}").alias("run"), at.alias("at"), first.alias("size")), F.struct((F.expr(f"s div {block}") + 1).alias("run"), F.lit(0).cast("long").alias("at"), (size - first).alias("size")))
+            draws = draws.select("rep", F.explode(parts).alias("p")).select("rep", "p.run", "p.at", "p.size").where("size > 0")
+            drawn = draws.join(runs.hint("shuffle_hash"), "run").select("rep", F.explode(F.slice("rows", (F.col("at") + 1).cast("int"), F.col("size").cast("int"))).alias("r"))
+            sides.append(drawn.select("rep", *[F.col("r")[c].alias(c) for c in df.columns]))
+        values = metric(sides[0].unionByName(sides[1])).where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
+        tail = (1 - level) / 2
+        return local(values.agg(F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"), F.count("*").alias("n")))
