@@ -92,3 +92,16 @@ def test_correlations_against_numpy(spark):
             p = p[~np.isnan(p).any(axis=1)]
             assert r["n"] == len(p) and r["va"] == pytest.approx(p[:, 0].var(), rel=1e-6)
             assert r["r"] is None and r["vb"] == 0 if b == "f3" else r["r"] == pytest.approx(np.corrcoef(p.T)[0, 1], abs=1e-9)
+
+
+def test_ranks_once(spark, monkeypatch):
+    from plumbline.operators import dependence
+    from plumbline.sources.panels import Flat
+
+    g = np.random.default_rng(11)
+    panel = Flat.of(spark.createDataFrame([(("real", "synthetic")[i % 2], i, *map(float, g.normal(0, 1, 2))) for i in range(300)], "side string, i int, x double, y double"), ["x", "y"], ["i"])
+    names = ["spearman_corr", "tail_dependence_upper", "tail_dependence_asymmetry"]
+    want = {m: {r["key"]: r["value"] for r in api.FLAT[m](panel).collect()}["overall"] for m in names}
+    monkeypatch.setattr(dependence, "mid_ranks", None)
+    got = api.validate(panel, names).metrics
+    assert {m: got[m].value for m in names} == pytest.approx(want)
